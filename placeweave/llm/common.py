@@ -76,3 +76,16 @@ def text_batches(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iter
             continue
         half = batch.num_rows // 2
         yield from text_batches(iter([batch.slice(0, half), batch.slice(half)]), most)
+
+
+def count_threshold(rows: DataFrame, count: str, most: int, least: int = 1) -> int:
+    """The smallest power of two times ``least`` that ``count`` reaches in at most ``most`` rows."""
+    power = F.floor(F.log2(F.col(count) / least)).cast("int")
+    steps = rows.filter(F.col(count) >= least).groupBy(power.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 63 rows
+    total, k = 0, 64
+    for r in sorted(steps, key=lambda r: -r.k):
+        total += r.n
+        if total > most:
+            return least << k
+        k = r.k
+    return least

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, simhash, toxicity, url_filter
+from . import exact_dedup, mixing, packing, simhash, token_counts, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_token_counts": token_counts.op3_token_counts,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_simhash": simhash.op6_simhash,
+        "op7_packing": packing.op7_packing,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op10_mixing": mixing.op10_mixing,
     }
