@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, simhash, token_counts, toxicity, url_filter
+from . import exact_dedup, mixing, packing, simhash, suffix_tree, token_counts, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": simhash.op6_simhash,
         "op7_packing": packing.op7_packing,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_lm": suffix_tree.op9_lm,
         "op10_mixing": mixing.op10_mixing,
     }
 
