@@ -198,3 +198,10 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS,
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", "copies")
+
+
+def repeated(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, floor: float = 1.0) -> DataFrame:
+    """Each document as often as :func:`mix` says, with its columns; by default no document is left out."""
+    numbered = saved(docs.withColumn("_row", F.monotonically_increasing_id()))
+    times = mix(numbered, labels, weights, floor, ("doc_id", "_row")).filter("copies > 0").select("_row", "copies")
+    return numbered.join(times, "_row").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, simhash, suffix_dedup, suffix_tree, token_counts, toxicity, url_filter
+from . import exact_dedup, mixing, packing, simhash, suffix_dedup, suffix_tree, token_counts, toxicity, transport_stream, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+        "op2_transport_stream": transport_stream.op2_transport_stream,
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_url_filter": url_filter.op5_url_filter,

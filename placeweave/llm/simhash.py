@@ -170,3 +170,18 @@ def near_groups(docs: DataFrame, size: int = 3, limit: int = 3, doc_id: str = "d
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_groups(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, size: int = 3, limit: int = 3) -> DataFrame:
+    """Of each component the document with the smallest id, with all its columns.
+
+    Of rows that repeat that id one stays; where all ids of a group are null,
+    so does one.
+    """
+    numbered = saved(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = saved(fingerprints(numbered, size, "_row"))  # the row number stands for the id
+    ids = rows.join(numbered.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("_id")), "doc_id")
+    nodes = saved(ids.groupBy("fp").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "doc_id")).alias("first")).select("fp", F.col("first._id").alias("_id"), F.col("first.doc_id").alias("_first")))
+    found = components(nodes.select("fp", F.col("_first").alias("id")), saved(links(nodes.select("fp"), limit)), "fp", "id")
+    best = nodes.join(found, "fp").groupBy("component").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_first")).alias("best"))
+    return numbered.join(best.select(F.col("best._first").alias("_row")), "_row", "left_semi").drop("_row")
