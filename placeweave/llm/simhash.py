@@ -110,14 +110,15 @@ def links(fps: DataFrame, limit: int = 3) -> DataFrame:
     """
     sig = signatures(fps, limit)
     sizes = sig.groupBy("seg", "part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sized = sig.join(sizes, ["seg", "part"])
+    # Sizes are estimated from before the explosion: without the hint Spark may broadcast all signatures.
+    sized = sig.join(sizes.hint("merge"), ["seg", "part"])
     blocks = sized.select("seg", "part", "fp", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / BLOCK)).alias("block"), F.ceil(F.col("n") / BLOCK).alias("of"))
     packed = blocks.groupBy("seg", "part", "block", "of").agg(F.collect_list("fp").alias("fps"))
     small = packed.filter("of = 1").select(F.col("fps").alias("left"), F.lit(None).cast("array<long>").alias("right"))
     big = saved(packed.filter("of > 1"))
     # Each block is paired with itself and with each later block of its signature.
     one = big.select("seg", "part", "of", F.col("block").alias("i"), F.col("fps").alias("left"), F.explode(F.sequence("block", F.col("of") - 1)).alias("block"))
-    two = one.join(big.select("seg", "part", "block", F.col("fps").alias("right")), ["seg", "part", "block"])
+    two = one.join(big.select("seg", "part", "block", F.col("fps").alias("right")).hint("merge"), ["seg", "part", "block"])
     large = two.select("left", F.when(F.col("i") != F.col("block"), F.col("right")).alias("right")).repartition(F.rand(7))
     find = lambda b: _links(b, limit)
     return small.mapInArrow(find, "a long, b long").unionByName(large.mapInArrow(find, "a long, b long")).distinct()
