@@ -28,7 +28,8 @@ SEED = 32
 #: Bytes that are hashed at once, and sampled suffixes that a task holds before it merges them.
 BUFFER = 1 << 19
 HELD = 1 << 20
-_PLACE = np.uint64((1 << 20) - 1)
+#: Places in what is ranked at once: less than two buffers and a string.
+_PLACE = np.uint64((1 << 21) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(42).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
 
