@@ -104,15 +104,17 @@ def document_spans(blocks: DataFrame, end: int = END_ID, width: int = 2) -> Data
     above = Window.partitionBy("file").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.withColumns({"bt": F.coalesce(F.sum("gt").over(above), F.lit(0)), "bd": F.coalesce(F.sum("gd").over(above), F.lit(0))})
     bases = bases.withColumn("bopen", F.coalesce(F.max(F.col("bt") + F.col("gopen")).over(above), F.lit(0))).select("file", "group", "bt", "bd", "bopen")
-    carried = local.join(bases, ["file", "group"]).select("file", "block", (F.col("bt") + F.col("t")).alias("base"), (F.col("bd") + F.col("d")).alias("docs_before"), F.coalesce(F.col("bt") + F.col("open"), "bopen").alias("open"))
-    each = found.join(carried, ["file", "block"])
+    carried = saved(local.join(bases, ["file", "group"]).select(
+        "file", "block", "tokens", "docs", "last", (F.col("bt") + F.col("t")).alias("base"), (F.col("bd") + F.col("d")).alias("docs_before"), F.coalesce(F.col("bt") + F.col("open"), "bopen").alias("open"),
+    ))
+    each = found.select("file", "block", "at").join(carried.select("file", "block", "base", "docs_before", "open"), ["file", "block"])
     i = F.col("i")
     spans = each.select("file", "base", "docs_before", "open", "at", F.posexplode("at").alias("i", "stop")).select(
         "file", (F.col("docs_before") + i).alias("doc_index"),
         F.when(i == 0, F.col("open")).otherwise(F.col("base") + F.element_at("at", F.greatest(i, F.lit(1))) + 1).alias("start"), (F.col("base") + F.col("stop")).alias("stop"),
     )
     whole = spans.select("file", "doc_index", "start", (F.col("stop") - F.col("start")).alias("n_tokens"), F.lit(True).alias("complete"))
-    ends = each.groupBy("file").agg(F.max(F.col("base") + F.col("tokens")).alias("stop"), F.max(F.greatest("open", F.coalesce(F.col("base") + F.element_at(F.when(F.size("at") > 0, F.col("at")), -1) + 1, F.lit(0)))).alias("start"), F.max(F.col("docs_before") + F.size("at")).alias("doc_index"))
+    ends = carried.groupBy("file").agg(F.max(F.col("base") + F.col("tokens")).alias("stop"), F.max(F.greatest("open", F.coalesce(F.col("base") + F.col("last") + 1, F.lit(0)))).alias("start"), F.max(F.col("docs_before") + F.col("docs")).alias("doc_index"))
     tail = ends.filter("stop > start").select("file", "doc_index", "start", (F.col("stop") - F.col("start")).alias("n_tokens"), F.lit(False).alias("complete"))
     return whole.unionByName(tail)
 
