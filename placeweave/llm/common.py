@@ -82,7 +82,7 @@ def count_threshold(rows: DataFrame, count: str, most: int, least: int = 1) -> i
     """The smallest power of two times ``least`` that ``count`` reaches in at most ``most`` rows."""
     power = F.floor(F.log2(F.col(count) / least)).cast("int")
     steps = rows.filter(F.col(count) >= least).groupBy(power.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 63 rows
-    total, k = 0, 64
+    total, k = 0, max((r.k for r in steps), default=0) + 1
     for r in sorted(steps, key=lambda r: -r.k):
         total += r.n
         if total > most:
