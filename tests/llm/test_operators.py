@@ -235,6 +235,19 @@ def test_suffix_tree_is_a_distribution(spark):
     assert value
 
 
+def test_suffix_tree_three_words_and_rare_contexts(spark):
+    draw = random.Random(3)
+    lines = ["a m n x", "b m n y"] * 70 + ["k z"] * 4 + [f"k o{i % 7}" for i in range(56)]
+    draw.shuffle(lines)
+    other = [" ".join(draw.choices([f"w{i}" for i in range(40)] + ["m", "n", "x", "y"], k=8)) for _ in lines]
+    rows = saved(spark.createDataFrame([(i, f"{o} {t}") for i, (o, t) in enumerate(zip(other, lines, strict=True))], "_row long, text string"))
+    tree, counts = suffix_tree.fit(rows)
+    asked = saved(spark.createDataFrame(list(enumerate(["a m n x", "b m n x", "k z", "w1 z"])), "_row long, text string"))
+    s = {r.row: r.score - r.base_score for r in suffix_tree.score(asked, tree, counts).collect()}
+    assert tree.depth >= 3 and s[0] - s[1] > 1  # the third word back decides
+    assert s[2] - s[3] > 1  # a context of 60, a next symbol of 4 occurrences
+
+
 def test_word_hashes_tell_tokens_apart():
     some = [b"", b"a", b"A b", b"ab", b"a\tb ", b" a b", b"\x00 a\x00", "\u00c4 \u4e2d".encode(), b"a" * 5000]
     h, n = suffix_tree.word_hashes(some)
