@@ -30,7 +30,7 @@ class Classifier:
 
 @dataclass
 class Fit:
-    """The rates' history: residual shares and step sizes, and how far the totals are from the targets."""
+    """Aggregates that the fit took, and how far the totals are from the targets, as a share of all tokens."""
 
     steps: int = 0
     residual: float = math.inf
@@ -119,58 +119,74 @@ def soft_domains(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("d
     return rows.select(*keep, "tokens", F.transform("_s", lambda x: x / F.aggregate("_s", F.lit(0.0), lambda a, b: a + b)).alias("p"))
 
 
-def fit_rates(soft: DataFrame, weights: dict[str, float], floor: float = 0.0, tolerance: float = 1e-4, most: int = 64) -> tuple[DataFrame, Fit]:
+#: Weight of the pull to the multipliers of the round before, and Newton's end: the largest slope of the dual that counts as none.
+PULL, FLAT = 1e-6, 1e-9
+
+
+def fit_rates(soft: DataFrame, weights: dict[str, float], floor: float = 0.0, tolerance: float = 1e-4) -> tuple[DataFrame, Fit]:
     """``soft`` with a ``rate`` of at least ``floor`` for each row, such that expected domain totals match the targets.
 
-    Minimises the squared distance between the sums of rate * tokens *
-    posterior and weight * all tokens, from rates of 1, by accelerated
-    projected gradient descent; each document's coordinate is scaled by its
-    tokens. A step needs one aggregate of as many sums as there are domains;
-    the driver sees those sums alone. Each row's rate is refolded from the
-    steps so far, which are written down every eight steps. It ends when all totals are within
-    ``tolerance`` of all tokens, or after ``most`` steps (targets that no
-    nonnegative rates reach stay unmet; ``Fit.residual`` tells).
+    Of all rates that bring the sums of rate * tokens * posterior to weight *
+    all tokens, those with the least tokens * (rate - 1) squared: each is 1
+    and a multiplier for each domain times the row's posteriors, at least
+    ``floor``. The multipliers are the dual's optimum, found by Newton's
+    method; a step needs one aggregate of ten sums, and the driver sees those
+    alone. Rounds with a pull to the multipliers so far end when all totals
+    are within ``tolerance`` of all tokens, or when another round changes
+    none of them any more: no such rates reach the targets then, and the totals
+    are the nearest. ``Fit.residual`` tells how far.
     """
     k = len(DOMAINS)
     share = sum(weights.get(d, 0.0) for d in DOMAINS)
     target = np.array([weights.get(d, 0.0) / share for d in DOMAINS])
-    p = [F.col("p")[i] for i in range(k)]
-    gram = soft.agg(F.sum("tokens").alias("t"), *[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"g{i}{j}") for i in range(k) for j in range(k)]).first()
-    total = float(gram["t"] or 0)
+    q = [F.col("p")[i] for i in range(k)]
+    total = float(soft.agg(F.sum("tokens")).first()[0] or 0)
     fit = Fit(targets=list(target * total))
-    state = soft.withColumns({"_r": F.lit(1.0), "_y": F.lit(1.0)})
     if not total:
-        return state.select(*soft.columns, F.col("_r").alias("rate")), fit
-    step = 1 / max(1e-9, float(np.linalg.eigvalsh([[gram[f"g{i}{j}"] / total for j in range(k)] for i in range(k)])[-1]))
-    steps: list[tuple[list[float], float]] = []
-    t = 1.0
-
-    def folded(df: DataFrame) -> DataFrame:
-        if not steps:
-            return df
-        past = F.array(*[F.struct(*[F.lit(float(x)).alias(f"e{i}") for i, x in enumerate(e)], F.lit(b).alias("b")) for e, b in steps])
-
-        def one(s: Column, h: Column) -> Column:
-            new = F.greatest(F.lit(float(floor)), s["y"] - step * sum(F.col("p")[i] * h[f"e{i}"] for i in range(k)))
-            return F.struct(new.alias("r"), (new + h["b"] * (new - s["r"])).alias("y"))
-
-        s = df.withColumn("_s", F.aggregate(past, F.struct(F.col("_r").alias("r"), F.col("_y").alias("y")), one))
-        return s.withColumns({"_r": F.col("_s")["r"], "_y": F.col("_s")["y"]}).drop("_s")
-
-    for _ in range(most):
-        now = folded(state)
-        got = now.agg(*[F.sum(F.col("_y") * F.col("tokens") * p[i]).alias(f"y{i}") for i in range(k)], *[F.sum(F.col("_r") * F.col("tokens") * p[i]).alias(f"r{i}") for i in range(k)]).first()
-        fit.totals = [got[f"r{i}"] for i in range(k)]
-        fit.residual = float(np.abs(np.array(fit.totals) / total - target).max())
-        if fit.residual <= tolerance:
+        return soft.withColumn("rate", F.lit(1.0)), fit
+
+    def rate_of(y: np.ndarray) -> Column:
+        return F.greatest(F.lit(float(floor)), 1.0 + sum(q[i] * F.lit(float(y[i])) for i in range(k)))
+
+    def sums(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The dual's value without the targets, totals of the rates, and the Gram matrix of the rows above the floor, all by total tokens."""
+        x, r = sum(q[i] * F.lit(float(y[i])) for i in range(k)), F.col("_rate")
+        free = F.when(r > floor, F.col("tokens")).otherwise(0)
+        value = F.when(r > floor, x + x * x / 2).otherwise(floor * x - (floor - 1.0) ** 2 / 2)
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        got = soft.withColumn("_rate", rate_of(y)).agg(
+            F.sum(F.col("tokens") * value), *[F.sum(F.col("tokens") * r * q[i]) for i in range(k)], *[F.sum(free * q[i] * q[j]) for i, j in pairs]
+        ).first()
+        gram = np.zeros((k, k))
+        for (i, j), g in zip(pairs, got[1 + k :], strict=True):
+            gram[i, j] = gram[j, i] = g / total
+        return got[0] / total, np.array(got[1 : 1 + k]) / total, gram
+
+    y = np.zeros(k)
+    now, before = sums(y), None
+    while True:
+        fit.totals, fit.residual = list(now[1] * total), float(np.abs(now[1] - target).max())
+        if fit.residual <= tolerance or before is not None and np.abs(now[1] - before).max() <= tolerance / 100:
             break
-        fit.steps += 1
-        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        steps.append(([got[f"y{i}"] / total - target[i] for i in range(k)], (t - 1) / after))
-        t = after
-        if len(steps) == 8:
-            state, steps = saved(folded(state)), []
-    return folded(state).select(*soft.columns, F.col("_r").alias("rate")), fit
+        before, center = now[1], y
+        while True:
+            slope = now[1] - target + PULL * (y - center)
+            if np.abs(slope).max() <= FLAT:
+                break
+            step = -np.linalg.solve(now[2] + PULL * np.eye(k), slope)
+            dual = now[0] - target @ y + PULL * ((y - center) ** 2).sum() / 2
+            length = 1.0
+            while True:
+                to = y + length * step
+                new = sums(to)
+                fit.steps += 1
+                if new[0] - target @ to + PULL * ((to - center) ** 2).sum() / 2 <= dual + 1e-4 * length * (slope @ step) or length * np.abs(step).max() <= 1e-9 * (1 + np.abs(y).max()):
+                    break
+                length /= 2
+            if length * np.abs(step).max() <= 1e-9 * (1 + np.abs(y).max()):
+                break  # as near as the sums' precision goes
+            y, now = to, new
+    return soft.withColumn("rate", rate_of(y)), fit
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -184,20 +200,22 @@ WEIGHTS = {"high": 0.85, "low": 0.10, "toxic": 0.05}
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, floor: float = 0.0, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keep, tokens, p, rate, copies) of each row of ``docs``.
+    """(keep, tokens, p, rate, copies, residual) of each row of ``docs``.
 
     Domains come from the labelled table: toxic, else low or high quality.
     Rows with a null or repeated doc_id are rows like any other. Without
     labels every row has the priors; an empty table gives no rows.
+    ``residual``, the same in all rows, is how far the rates' totals are from
+    the targets, as a share of all tokens.
     """
     soft = saved(soft_domains(docs, fit_classifier(docs, labels), keep))
-    rated, _ = fit_rates(soft, weights, floor)
-    return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    rated, fit = fit_rates(soft, weights, floor)
+    return rated.withColumns({"copies": copies(F.col("rate"), F.col("doc_id")), "residual": F.lit(fit.residual)})
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return rows.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", "copies")
+    return rows.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", "copies", "residual")
 
 
 def repeated(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, floor: float = 1.0) -> DataFrame:

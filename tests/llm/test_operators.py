@@ -266,3 +266,21 @@ def test_mixing(spark):
     rated, fit = mixing.fit_rates(soft, {"high": 0.4, "low": 0.35, "toxic": 0.25})
     assert fit.residual <= 1e-4 and rated.filter("rate < 0").count() == 0
     assert mixing.fit_rates(soft.limit(0), {"high": 1.0})[0].count() == 0
+
+
+def test_mixing_rare_domain(spark):
+    p = [[0.97, 0.03, 0.0], [0.3, 0.7, 0.0]]
+    rows = [(i, 50 + i % 9, p[i % 2]) for i in range(2000)] + [(2000 + i, 54, [0.05, 0.05, 0.9]) for i in range(2)]
+    rated, fit = mixing.fit_rates(saved(spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")), mixing.WEIGHTS)
+    got = rated.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.col("p")[i]) / F.sum("tokens") for i in range(3)]).first()
+    assert list(got) == pytest.approx([mixing.WEIGHTS[d] for d in mixing.DOMAINS], abs=1e-4) and fit.residual <= 1e-4
+    assert rated.filter("rate < 0").count() == 0
+
+
+def test_mixing_tells_unreachable_targets(spark):
+    rows = saved(spark.createDataFrame([(i, 10, [0.5, 0.5, 0.0]) for i in range(20)], "doc_id long, tokens long, p array<double>"))
+    rated, fit = mixing.fit_rates(rows, {"high": 1.0})
+    assert fit.residual == pytest.approx(0.5, abs=1e-3)  # the nearest to (1, 0) on the line of (1, 1) is (0.5, 0.5)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert mixing.mix(docs, labels, {"high": 1.0}).filter("residual > 0.1").count() == 6
