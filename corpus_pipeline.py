@@ -27,7 +27,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture asks for.
 
     No document is left out here: rates are at least one, so what a domain
-    lacks is made up by repeating its documents.
+    lacks is made up by repeating its documents. Toxic ones are no part of
+    the mixture: what the first stage missed isn't repeated.
     """
     return mixing.repeated(docs, table(spark, sf_dir, "labels"))
 

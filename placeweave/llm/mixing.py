@@ -57,8 +57,8 @@ def _features(text: Column, words: Column, lexicon: dict[str, list[str]]) -> lis
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """(text, domain) of at most ``most`` labelled documents; a label that is null or unknown counts for nothing."""
-    named = labels.select(F.col("doc_id").alias("_id"), domain_of(F.col("quality"), F.col("toxic")).alias("domain")).filter("_id is not null and domain is not null")
+    """(text, domain) of at most ``most`` labelled documents of ``docs``; a label that is null or unknown counts for nothing."""
+    named = labels.select(F.col("doc_id").alias("_id"), domain_of(F.col("quality"), F.col("toxic")).alias("domain")).filter("_id is not null and domain is not null").join(docs.select(F.col("doc_id").alias("_id")), "_id", "left_semi")
     some = named.groupBy("_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("_id"), "_id").limit(most)
     return docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "_id").select("text", "domain")
 
@@ -123,7 +123,7 @@ def soft_domains(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("d
 PULL, FLAT = 1e-6, 1e-9
 
 
-def fit_rates(soft: DataFrame, weights: dict[str, float], floor: float = 0.0, tolerance: float = 1e-4) -> tuple[DataFrame, Fit]:
+def fit_rates(soft: DataFrame, weights: dict[str, float], floor: float = 0.0, tolerance: float = 1e-4, free_total: bool = False) -> tuple[DataFrame, Fit]:
     """``soft`` with a ``rate`` of at least ``floor`` for each row, such that expected domain totals match the targets.
 
     Of all rates that bring the sums of rate * tokens * posterior to weight *
@@ -135,11 +135,20 @@ def fit_rates(soft: DataFrame, weights: dict[str, float], floor: float = 0.0, to
     are within ``tolerance`` of all tokens, or when another round changes
     none of them any more: no such rates reach the targets then, and the totals
     are the nearest. ``Fit.residual`` tells how far.
+
+    With ``free_total`` the total is free as well, and the weights are shares
+    of what the domains of positive weight have together, so that rates
+    of at least 1 reach them by repeating what is too little. Nothing is asked of a domain of
+    weight 0, and documents of such a domain keep a rate of about 1.
     """
     k = len(DOMAINS)
     share = sum(weights.get(d, 0.0) for d in DOMAINS)
     target = np.array([weights.get(d, 0.0) / share for d in DOMAINS])
     q = [F.col("p")[i] for i in range(k)]
+    if free_total:  # shares are met when the totals of posterior less weight times the wanted domains' posteriors are 0
+        wanted = sum(q[i] for i in range(k) if target[i] > 0)
+        q = [q[i] - F.lit(float(target[i])) * wanted if target[i] > 0 else F.lit(0.0) for i in range(k)]
+        target = np.zeros(k)
     total = float(soft.agg(F.sum("tokens")).first()[0] or 0)
     fit = Fit(targets=list(target * total))
     if not total:
@@ -197,9 +206,11 @@ def copies(rate: Column, doc_id: Column) -> Column:
 
 #: Production parameters: shares of all tokens.
 WEIGHTS = {"high": 0.85, "low": 0.10, "toxic": 0.05}
+#: Those of the pipeline, whose first stage takes out what is toxic: what it missed isn't repeated.
+KEPT_WEIGHTS = {"high": 0.85, "low": 0.10, "toxic": 0.0}
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, floor: float = 0.0, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, floor: float = 0.0, keep: tuple[str, ...] = ("doc_id",), free_total: bool = False) -> DataFrame:
     """(keep, tokens, p, rate, copies, residual) of each row of ``docs``.
 
     Domains come from the labelled table: toxic, else low or high quality.
@@ -209,7 +220,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS,
     the targets, as a share of all tokens.
     """
     soft = saved(soft_domains(docs, fit_classifier(docs, labels), keep))
-    rated, fit = fit_rates(soft, weights, floor)
+    rated, fit = fit_rates(soft, weights, floor, free_total=free_total)
     return rated.withColumns({"copies": copies(F.col("rate"), F.col("doc_id")), "residual": F.lit(fit.residual)})
 
 
@@ -218,8 +229,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", "copies", "residual")
 
 
-def repeated(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, floor: float = 1.0) -> DataFrame:
-    """Each document as often as :func:`mix` says, with its columns; by default no document is left out."""
+def repeated(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = KEPT_WEIGHTS, floor: float = 1.0) -> DataFrame:
+    """Each document as often as :func:`mix` says with a free total, with its columns; by default no document is left out."""
     numbered = saved(docs.withColumn("_row", F.monotonically_increasing_id()))
-    times = mix(numbered, labels, weights, floor, ("doc_id", "_row")).filter("copies > 0").select("_row", "copies")
+    times = mix(numbered, labels, weights, floor, ("doc_id", "_row"), True).filter("copies > 0").select("_row", "copies")
     return numbered.join(times, "_row").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)

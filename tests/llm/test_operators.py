@@ -284,3 +284,19 @@ def test_mixing_tells_unreachable_targets(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert mixing.mix(docs, labels, {"high": 1.0}).filter("residual > 0.1").count() == 6
+
+
+def test_mixing_repeats_only_what_is_kept(spark):
+    rows = [(i, 10 + i % 7, [[0.9, 0.1, 0.0], [0.1, 0.9, 0.0], [0.0, 0.02, 0.98]][(i % 50 >= 48) + (i % 50 == 49)]) for i in range(500)]
+    soft = saved(spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>"))
+    for want in ({"high": 0.8, "low": 0.2, "toxic": 0.0}, {"high": 0.88, "low": 0.12, "toxic": 0.0}):
+        rated, fit = mixing.fit_rates(soft, want, 1.0, free_total=True)
+        high, low = rated.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.col("p")[i]) for i in (0, 1)]).first()
+        assert high / (high + low) == pytest.approx(want["high"], abs=1e-3) and rated.filter("rate < 1").count() == 0
+        assert rated.filter("p[2] > 0.5").agg(F.max("rate")).first()[0] < 1.2
+
+
+def test_mixing_labels_of_other_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(500)], "doc_id long, quality int, toxic int")
+    assert mixing.labelled(docs, labels, 5).count() == 5
