@@ -95,7 +95,11 @@ def sampled(data: np.ndarray, valid: np.ndarray, length: int, seed: int) -> dict
 
 _ROWS = {"rank": np.uint64, "all": np.uint64, "doc": np.int64, "row": np.int64, "first": np.int64, "shape": np.uint64}
 _COVER = {"row": np.int64, "start": np.int64, "stop": np.int64}
-_ASK = {"rank": np.uint64, "doc": np.int64, "row": np.int64, "first": np.int64, "span": np.int64}
+_ASK = {"doc": np.int64, "row": np.int64, "first": np.int64, "span": np.int64}
+#: One of a part's runs of a rank, and whether the part has others of that rank and has asked for all of them.
+_ONE = {"rank": np.uint64, "asked": np.int64} | _ASK
+#: Strings of the threshold's length.
+_STRINGS = {"rank": np.uint64, "doc": np.int64, "row": np.int64, "at": np.int64}
 
 
 def _packed(rows: dict[str, np.ndarray], kinds: dict) -> bytes:
@@ -179,7 +183,7 @@ def _ranked(batches: Iterator[pa.RecordBatch], length: int, seed: int, parts: in
         rows = {k: np.concatenate([h[k] for h in held] or [np.zeros(0, t)]) for k, t in _ROWS.items()}
         held.clear()
         one, cover = _firsts(rows, length, parts)
-        return _batch([*cover, *_dealt("suffix", one, one["rank"], parts, _ROWS)])
+        return _batch([*cover, *_dealt("suffix", one, one["rank"] ^ one["all"], parts, _ROWS)])
 
     size = 0
     for batch in batches:
@@ -198,22 +202,45 @@ def _ranked(batches: Iterator[pa.RecordBatch], length: int, seed: int, parts: in
     yield flush()
 
 
-def _reranked(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Per rank: runs equal to an earlier one are covered; ranks with different runs ask for their bytes; unique ones end."""
-    data = []
+def _split(batches: Iterator[pa.RecordBatch], kind: str, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Rows of other kinds, passed on; the packed columns of ``kind`` go to ``data``."""
     for batch in batches:
-        kinds = batch.column(0).to_pylist()
-        rows = list(zip(kinds, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-        data += [r[2] for r in rows if r[0] == "suffix"]
-        yield _batch([r for r in rows if r[0] == "cover"])
+        rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        data += [r[2] for r in rows if r[0] == kind]
+        yield _batch([r for r in rows if r[0] != kind])
+
+
+def _reranked(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Of runs dealt by their rank and bytes: those equal to an earlier one are covered, different ones of a rank ask for their bytes.
+
+    One run of each rank is sent on, so that the next step meets no more runs
+    of a rank than there are parts, however frequent it is.
+    """
+    data: list[bytes] = []
+    yield from _split(batches, "suffix", data)
     one, cover = _firsts(_unpacked(data, _ROWS), length, parts)
     yield _batch(list(cover))
     rank = one["rank"]
     if len(rank):
         equal = rank[1:] == rank[:-1]
-        ask = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
-        rows = {k: v[ask] for k, v in one.items()}
-        rows["span"] = (rows["shape"] >> np.uint64(8)).astype(np.int64) + length
+        again = np.concatenate([[False], equal])
+        one["span"] = (one["shape"] >> np.uint64(8)).astype(np.int64) + length
+        one["asked"] = (again | np.concatenate([equal, [False]])).astype(np.int64)
+        ask, sent = ({k: v[pick] for k, v in one.items()} for pick in (one["asked"] > 0, ~again))
+        yield _batch([*_dealt("ask", ask, ask["row"], parts, _ASK), *_dealt("one", sent, sent["rank"], parts, _ONE)])
+
+
+def _met_again(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Runs whose rank other parts have too ask for their bytes as well; unique ones end."""
+    data: list[bytes] = []
+    yield from _split(batches, "one", data)
+    rows = _unpacked(data, _ONE)
+    order = np.argsort(rows["rank"], kind="stable")
+    rows = {k: v[order] for k, v in rows.items()}
+    if len(order):
+        equal = rows["rank"][1:] == rows["rank"][:-1]
+        ask = (np.concatenate([[False], equal]) | np.concatenate([equal, [False]])) & (rows["asked"] == 0)
+        rows = {k: v[ask] for k, v in rows.items()}
         yield _batch(list(_dealt("ask", rows, rows["row"], parts, _ASK)))
 
 
@@ -234,71 +261,72 @@ def _by_row(batches: Iterator[pa.RecordBatch], kinds: dict) -> Iterator[tuple[in
             yield doc, row, (text or "").encode(), {k: v[a:b] for k, v in rows.items()}
 
 
-_STRINGS = {"doc": np.int64, "row": np.int64, "first": np.int64, "span": np.int64}
-
+def _strings(asked: dict[str, np.ndarray], texts: list[bytes], length: int) -> dict[str, np.ndarray]:
+    """Each string of ``length`` bytes in what was asked for, with its rank."""
+    half = length // 2
+    own, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(asked["span"])
+    counts = asked["span"] - length + 1
+    of = np.repeat(np.arange(len(ends)), counts)
+    inner = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    place = np.repeat(ends - asked["span"], counts) + inner
+    hasher = Hasher.get(len(own) + 1)
+    sums = hasher.sums(own)
+    # The pair of ranks at the offset half: one rank of the whole string.
+    rank = mixed(hasher.of(sums, place, place + half) * _MIX + hasher.of(sums, place + half, place + length))
+    return {"rank": rank, "doc": asked["doc"][of], "row": asked["row"][of], "at": asked["first"][of] + inner}
+
+
+def _earliest(rows: dict[str, np.ndarray], length: int, parts: int) -> tuple[dict[str, np.ndarray], Iterator[tuple]]:
+    """The earliest of equal strings, in the order of rows; and what the others cover."""
+    order = np.lexsort((rows["at"], rows["row"], rows["doc"], rows["rank"]))
+    rank = rows["rank"][order]
+    again = np.zeros(len(order), bool)
+    again[order[1:]] = rank[1:] == rank[:-1]
+    cover = merged(rows["row"][again], rows["at"][again], rows["at"][again] + length)
+    return {k: v[~again] for k, v in rows.items()}, _dealt("cover", cover, cover["row"], parts, _COVER)
+
+
+def _answers(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """The strings of the bytes that were asked for, dealt by their own ranks; of equal ones the earliest that a task holds."""
+    held: list[dict[str, np.ndarray]] = []
+    asked: list[dict[str, np.ndarray]] = []
+    texts: list[bytes] = []
 
-def _answers(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """The bytes that were asked for, dealt by the rank of their minimiser."""
-    held: list[tuple[np.ndarray, dict[str, np.ndarray], list[bytes]]] = []
+    def rank() -> None:
+        held.append(_strings({k: np.concatenate([x[k] for x in asked]) for k in _ASK}, texts, length))
+        asked.clear()
+        texts.clear()
 
     def flush() -> pa.RecordBatch:
-        asked = {k: np.concatenate([h[1][k] for h in held]) for k in _ASK}
-        strings = [s for h in held for s in h[2]]
-        part = (mixed(asked["rank"]) >> np.uint64(16)) % np.uint64(parts)
-        out = []
-        for i in np.unique(part):
-            pick = np.flatnonzero(part == i)
-            head = _packed({k: asked[k][pick] for k in _STRINGS}, _STRINGS)
-            out.append(("string", int(i), len(head).to_bytes(8, "little") + head + zstandard.compress(b"".join(strings[j] for j in pick.tolist()), 3)))
+        one, cover = _earliest({k: np.concatenate([h[k] for h in held]) for k in _STRINGS}, length, parts)
         held.clear()
-        return _batch(out)
+        return _batch([*cover, *_dealt("string", one, one["rank"], parts, _STRINGS)])
 
     size = 0
-    for _, _, data, asked in _by_row(batches, _ASK):
-        if len(asked["row"]):
-            held.append((asked["row"], asked, [data[a : a + n] for a, n in zip(asked["first"].tolist(), asked["span"].tolist(), strict=True)]))
-            size += len(asked["row"])
-            if size > 200_000:
-                yield flush()
+    for _, _, data, rows in _by_row(batches, _ASK):
+        cut, ends = 0, np.cumsum(rows["span"])
+        while cut < len(ends):  # so many at a time as a buffer holds
+            to = max(cut + 1, int(np.searchsorted(ends, (int(ends[cut - 1]) if cut else 0) + BUFFER, "right")))
+            asked.append({k: v[cut:to] for k, v in rows.items()})
+            texts += [data[a : a + n] for a, n in zip(asked[-1]["first"].tolist(), asked[-1]["span"].tolist(), strict=True)]
+            size += sum(asked[-1]["span"].tolist())
+            cut = to
+            if size >= BUFFER:
+                rank()
                 size = 0
+                if sum(len(h["rank"]) for h in held) > HELD:
+                    yield flush()
+    if asked:
+        rank()
     if held:
         yield flush()
 
 
 def _compared(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Each string of ``length`` bytes in what was asked for: all but the earliest of its copies are covered."""
-    keys: list[np.ndarray] = []
-    rows: dict[str, list[np.ndarray]] = {k: [] for k in ("doc", "row", "at")}
-    half = length // 2
-    for batch in batches:
-        for x in batch.column(2).to_pylist():
-            n = int.from_bytes(x[:8], "little")
-            head, data = _unpacked([x[8 : 8 + n]], _STRINGS), np.frombuffer(zstandard.decompress(x[8 + n :]), np.uint8)
-            ends = np.cumsum(head["span"])
-            cut = 0
-            while cut < len(ends):  # so many strings at a time as a buffer holds
-                base = int(ends[cut - 1]) if cut else 0
-                to = max(cut + 1, int(np.searchsorted(ends, base + BUFFER, "right")))
-                own, e = data[base : int(ends[to - 1])], ends[cut:to] - base
-                starts = e - head["span"][cut:to]
-                counts = head["span"][cut:to] - length + 1
-                of = np.repeat(np.arange(cut, to), counts)
-                inner = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-                place = np.repeat(starts, counts) + inner
-                hasher = Hasher.get(len(own) + 1)
-                sums = hasher.sums(own)
-                # The pair of ranks at the offset half: one rank of the whole string.
-                keys.append(mixed(hasher.of(sums, place, place + half) * _MIX + hasher.of(sums, place + half, place + length)))
-                for k, v in (("doc", head["doc"][of]), ("row", head["row"][of]), ("at", head["first"][of] + inner)):
-                    rows[k].append(v)
-                cut = to
-    if keys:
-        rank, doc, row, at = np.concatenate(keys), *(np.concatenate(rows[k]) for k in ("doc", "row", "at"))
-        order = np.lexsort((at, row, doc, rank))
-        rank, row, at = rank[order], row[order], at[order]
-        again = np.concatenate([[False], rank[1:] == rank[:-1]])
-        cover = merged(row[again], at[again], at[again] + length)
-        yield _batch(list(_dealt("cover", cover, cover["row"], parts, _COVER)))
+    """All but the earliest of equal strings are covered."""
+    data: list[bytes] = []
+    yield from _split(batches, "string", data)
+    yield _batch(list(_earliest(_unpacked(data, _STRINGS), length, parts)[1]))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,9 +414,10 @@ def removed_spans(docs: DataFrame, length: int = THRESHOLD, seed: int = SEED, do
     ordered = rows.select(F.coalesce("doc", F.lit(last)).alias("doc"), "row", "text").filter(F.octet_length("text") >= length)
     ranked = ordered.mapInArrow(lambda b: _ranked(b, length, seed, parts), PARTS)
     reranked = saved(ranked.repartition(parts, "part").mapInArrow(lambda b: _reranked(b, length, parts), PARTS))
-    ask, cover = reranked.filter("kind = 'ask'"), reranked.filter("kind = 'cover'")
+    ones = reranked.filter("kind = 'one'").repartition(parts, "part").mapInArrow(lambda b: _met_again(b, parts), PARTS)
+    ask, cover = saved(reranked.filter("kind = 'ask'").unionByName(ones)), reranked.filter("kind = 'cover'")
     asked = _sorted_out(ordered, _rows_of(ask, _ASK), parts).filter("named")
-    answers = _met(asked, ask, parts).mapInArrow(lambda b: _answers(b, parts), PARTS)
+    answers = _met(asked, ask, parts).mapInArrow(lambda b: _answers(b, length, parts), PARTS)
     compared = saved(answers.repartition(parts, "part").mapInArrow(lambda b: _compared(b, length, parts), PARTS))
     covered = cover.unionByName(compared)
     texts = _sorted_out(rows, _rows_of(covered, _COVER), parts)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -52,6 +53,22 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.removed_spans(empty).count() == 0
 
 
+def test_suffix_dedup_deals_out_a_frequent_line():
+    draw, line = random.Random(2), "the same line of ninety bytes is in every document, but what is around it differs each time"
+    fill = lambda: "".join(draw.choices("abcdefghijklmnop ", k=60))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(range(400)), pa.array([f"{fill()}{line}{fill()}" for _ in range(400)])], ["doc", "row", "text"])
+    of = Counter()
+    for out in suffix_dedup._ranked(iter([batch]), 100, 32, 8):
+        for kind, part, data in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            rows = suffix_dedup._unpacked([data], suffix_dedup._ROWS) if kind == "suffix" else {"rank": []}
+            of.update((int(r), part) for r in rows["rank"])
+    hot = Counter()
+    for (rank, _), n in of.items():
+        hot[rank] += n
+    rank, n = hot.most_common(1)[0]
+    assert n > 300 and max(m for (r, _), m in of.items() if r == rank) < n / 4
+
+
 def test_transport_stream(docs, empty):
     rows = transport_stream.described(transport_stream.with_streams(docs)).collect()
     for r in rows:
