@@ -352,15 +352,18 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 FILTER_BITS = 1 << 23
 
 
-def _rows_of(packed: DataFrame, kinds: dict) -> dict[int, bytes]:
+def _rows_of(packed: DataFrame, kinds: dict, parts: int) -> dict[int, bytes]:
     """A fixed-size bitmap of the rows that packed columns name, by pages of 32,768 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.zeros(FILTER_BITS, bool)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(_unpacked([x], kinds)["row"])) + 1)], ["slot"])
+            for x in batch.column(1).to_pylist():
+                there[_slot(_unpacked([x], kinds)["row"])] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(there) + 1)], ["slot"])
 
-    slots = packed.select("data").mapInArrow(run, "slot long")
+    # Dealt by row, so that a row comes up once, however many parts name it.
+    slots = packed.select("part", "data").repartition(parts, "part").mapInArrow(run, "slot long")
     pages = slots.groupBy(F.bitmap_bucket_number("slot").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     return {r.page: bytes(r.bits) for r in pages.collect()}  # FILTER_BITS / 8 bytes at most
 
@@ -416,11 +419,11 @@ def removed_spans(docs: DataFrame, length: int = THRESHOLD, seed: int = SEED, do
     reranked = saved(ranked.repartition(parts, "part").mapInArrow(lambda b: _reranked(b, length, parts), PARTS))
     ones = reranked.filter("kind = 'one'").repartition(parts, "part").mapInArrow(lambda b: _met_again(b, parts), PARTS)
     ask, cover = saved(reranked.filter("kind = 'ask'").unionByName(ones)), reranked.filter("kind = 'cover'")
-    asked = _sorted_out(ordered, _rows_of(ask, _ASK), parts).filter("named")
+    asked = _sorted_out(ordered, _rows_of(ask, _ASK, parts), parts).filter("named")
     answers = _met(asked, ask, parts).mapInArrow(lambda b: _answers(b, length, parts), PARTS)
     compared = saved(answers.repartition(parts, "part").mapInArrow(lambda b: _compared(b, length, parts), PARTS))
     covered = cover.unionByName(compared)
-    texts = _sorted_out(rows, _rows_of(covered, _COVER), parts)
+    texts = _sorted_out(rows, _rows_of(covered, _COVER, parts), parts)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, stops array<long>"
     cut = _met(texts.filter("named"), covered, parts).mapInArrow(_kept, schema)
     none = F.array().cast("array<long>")
