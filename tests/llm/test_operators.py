@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from placeweave.llm import exact_dedup, mixing, packing, simhash, suffix_dedup, suffix_tree, token_counts, toxicity, transport_stream, url_filter
+from placeweave.llm import exact_dedup, mixing, packing, simhash, suffix_dedup, token_counts, toxicity, transport_stream, url_filter
 from placeweave.llm.common import saved
 from placeweave.llm.tokens import Encoder
 
@@ -190,93 +190,6 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.keep_first(docs.unionByName(docs)).count() == len(first)
 
 
-def test_suffix_tree(docs, empty):
-    train = docs.filter(F.col("doc_id") % 5 != 0)
-    tree, counts = suffix_tree.fit(train)
-    rows = {r.row: r for r in suffix_tree.score(docs.withColumn("_row", F.col("doc_id")), tree, counts).collect()}
-    c = Counter(w for i, t in enumerate(texts()) if i % 5 for w in suffix_tree.tokens(t))
-    n, v = sum(c.values()), len(c)
-    for i, t in enumerate(texts()):
-        words = suffix_tree.tokens(t)
-        assert rows[i].base_score == pytest.approx(sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words))
-        assert (rows[i].n_tokens, rows[i].n_known) == (len(words), sum(c[w] > 0 for w in words))
-    assert tree.total == n and sum(r.score for r in rows.values()) >= sum(r.base_score for r in rows.values()) - 1e-6
-    none, counts = suffix_tree.fit(empty)
-    assert [r.base_score for r in suffix_tree.score(docs.filter("doc_id = 1").withColumn("_row", F.col("doc_id")), none, counts).collect()] == [pytest.approx(0.0)]
-
-
-def test_suffix_tree_joins_equal_broadcasts(spark, monkeypatch):
-    draw = random.Random(8)
-    follow = {a: draw.sample("abcdefghij", 3) for a in "abcdefghij"}
-
-    def walk(n):
-        out = ["a"]
-        for _ in range(n):
-            out.append(draw.choice(follow[out[-1]] if draw.random() < 0.9 else "abcdefghij"))
-        return " ".join(out)
-
-    rows = saved(spark.createDataFrame([(i, walk(300)) for i in range(60)] + [(60, None), (61, " "), (62, "a  B"), (63, "unseen words only")], "_row long, text string"))
-    found = []
-    for frequent, hot in ((1 << 18, 1 << 19), (4, 1 << 19), (1 << 18, 1), (4, 8)):
-        monkeypatch.setattr(suffix_tree, "HOT", hot)
-        monkeypatch.setattr(suffix_tree, "FREQUENT", frequent)
-        monkeypatch.setattr(suffix_tree, "FREQUENT_BITS", frequent.bit_length() - 1)
-        tree, counts = suffix_tree.fit(rows.filter("_row % 5 > 0"))
-        assert len(tree.keys) <= hot and len(tree.words) <= frequent
-        found.append({r.row: (r.base_score, r.score) for r in suffix_tree.score(rows, tree, counts).collect()})
-        assert sorted(found[-1]) == list(range(64))
-    for other in found[1:]:
-        for i in range(64):
-            assert other[i] == pytest.approx(found[0][i])
-    held = [found[0][i] for i in range(0, 60, 5)]
-    assert sum(s for _, s in held) > 0.85 * sum(b for b, _ in held)  # logs are negative: the tree is far above the base
-
-
-def test_suffix_tree_is_a_distribution(spark):
-    rows = saved(spark.createDataFrame([(i, "x y z x y w x y z q " * 30) for i in range(8)], "_row long, text string"))
-    tree, counts = suffix_tree.fit(rows)
-    words = [r.token for r in counts.collect()]
-    for before in ("x", "x y", "z x y", ""):
-        asked = [(i, f"{before} {w.decode()}".strip()) for i, w in enumerate(words) if w != suffix_tree.END] + [(len(words), before)]
-        ends = {r.row: r.score for r in suffix_tree.score(saved(spark.createDataFrame([(i, t) for i, t in asked], "_row long, text string")), tree, counts).collect()}
-        assert ends and all(np.isfinite(v) for v in ends.values())
-    cold = {r.key: r.value for r in tree.cold.collect()}
-    value = {**dict(zip(tree.keys.tolist(), tree.values.tolist(), strict=True)), **cold}
-    c = {w: n for w, n in ((r.token, r.c) for r in counts.collect())}
-    ids = dict(zip(words, tree.root.ids(suffix_tree.first_hashes(words)), strict=True))
-    one = {w: suffix_tree.one_word_key(np.array([ids[w]])) for w in words}
-    for w in words:
-        if int(one[w][0]) in value:
-            p = [(c[x] + 0.1) / tree.root.floor * 10 ** (value[int(one[w][0])] + value.get(int(suffix_tree.mixed(one[w], np.array([ids[x]]))[0]), 0.0)) for x in words]
-            assert sum(p) == pytest.approx(1, abs=1e-3)
-    assert value
-
-
-def test_suffix_tree_three_words_and_rare_contexts(spark):
-    draw = random.Random(3)
-    lines = ["a m n x", "b m n y"] * 70 + ["k z"] * 4 + [f"k o{i % 7}" for i in range(56)]
-    draw.shuffle(lines)
-    other = [" ".join(draw.choices([f"w{i}" for i in range(40)] + ["m", "n", "x", "y"], k=8)) for _ in lines]
-    rows = saved(spark.createDataFrame([(i, f"{o} {t}") for i, (o, t) in enumerate(zip(other, lines, strict=True))], "_row long, text string"))
-    tree, counts = suffix_tree.fit(rows)
-    asked = saved(spark.createDataFrame(list(enumerate(["a m n x", "b m n x", "k z", "w1 z"])), "_row long, text string"))
-    s = {r.row: r.score - r.base_score for r in suffix_tree.score(asked, tree, counts).collect()}
-    assert tree.depth >= 3 and s[0] - s[1] > 1  # the third word back decides
-    assert s[2] - s[3] > 1  # a context of 60, a next symbol of 4 occurrences
-
-
-def test_word_hashes_tell_tokens_apart():
-    some = [b"", b"a", b"A b", b"ab", b"a\tb ", b" a b", b"\x00 a\x00", "\u00c4 \u4e2d".encode(), b"a" * 5000]
-    h, n = suffix_tree.word_hashes(some)
-    want = [suffix_tree.tokens(t.decode()) for t in some]
-    assert n.tolist() == [len(w) for w in want]
-    flat = [w for ws in want for w in ws]
-    by = {}
-    for w, x in zip(flat, h.tolist(), strict=True):
-        assert by.setdefault(w, x) == x
-    assert len(set(by.values())) == len(by)
-
-
 def test_mixing(spark):
     p = [[0.9, 0.1, 0.0], [0.2, 0.7, 0.1], [0.1, 0.1, 0.8]]
     soft = saved(spark.createDataFrame([(i, 10 + i % 7, p[i % 3]) for i in range(90)], "doc_id long, tokens long, p array<double>"))
