@@ -47,7 +47,7 @@ def saved(df: DataFrame, partition_by: Iterable[str] = ()) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(*tables: DataFrame) -> None:
@@ -64,6 +64,19 @@ def tidied(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def held_out(doc_id: Column, by: int) -> Column:
+    """Whether the crc32 of the id as text leaves no remainder by ``by``; null ids are not held out."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(by)) == 0, F.lit(False))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
