@@ -40,24 +40,51 @@ def mixed(*parts: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+#: Bytes that are hashed at once; a longer word makes it more.
+WINDOW = 1 << 20
+_BASE = 0xD1342543DE82EF95
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _up_and_down(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64, made once in a task."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            out = np.full(1 << (n - 1).bit_length(), base, np.uint64)
+            out[0] = 1
+            _powers[i] = np.multiply.accumulate(out)
+    return _powers
+
+
+def _hashes(data: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts, and its hash; ``data`` ends with a separator."""
+    starts, found, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while at < len(data):
+        size, value = WINDOW, None
+        while value is None:
+            value = values[data[at : at + size]]
+            if at + size < len(data):
+                gaps = np.flatnonzero(value == 0)
+                value = value[: gaps[-1] + 1] if len(gaps) else None
+                size *= 2
+        word = np.concatenate([[False], value != 0])
+        edge = np.flatnonzero(word[1:] != word[:-1])
+        start, stop = edge[::2], edge[1::2]
+        up, down = _up_and_down(len(value))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * up[: len(value)], dtype=np.uint64)])
+        starts.append(start + at)
+        found.append(mixed((sums[stop] - sums[start]) * down[start]))
+        at += len(value)
+    return np.concatenate(starts), np.concatenate(found)
+
+
 def word_hashes(texts: list[bytes], values: np.ndarray = WHITE_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, words and one end each, one after the other, and the number of tokens of each; a hash is over 2 ** 60."""
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    value = values[data]
-    start = value != 0
-    start[1:] &= value[:-1] == 0
-    start = np.flatnonzero(start)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    text_of = np.searchsorted(ends, start, "right")
-    words = np.bincount(text_of, minlength=len(texts))
+    start, found = _hashes(np.frombuffer(b"\n".join([*texts, b""]), np.uint8), values)
+    text_of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
     seq = np.full(len(start) + len(texts), _END)
-    if len(start):
-        size = np.diff(np.append(start, len(data)))
-        power = np.full(size.max(), _STEP)
-        np.multiply.accumulate(power, out=power)
-        value = value[start[0] :] * power[np.arange(start[0], len(data)) - np.repeat(start, size)]
-        seq[np.arange(len(start)) + text_of] = mixed(np.add.reduceat(value, start - start[0])).view(np.uint64)
-    return (seq >> np.uint64(2) | np.uint64(1 << 61)).view(np.int64), words + 1
+    seq[np.arange(len(start)) + text_of] = found.view(np.uint64)
+    return (seq >> np.uint64(2) | np.uint64(1 << 61)).view(np.int64), np.bincount(text_of, minlength=len(texts)) + 1
 
 
 def first_hashes(words: list[bytes]) -> np.ndarray:
