@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeweave.functions import columns as C
@@ -12,9 +13,11 @@ from placeweave.functions import kernel as K
 from placeweave.operators.resolve import enrich, places_of, resolve
 from placeweave.plans.evaluate import evaluate_nodes
 from placeweave.plans.flatten import flatten
-from placeweave.sources.parser import phrase_tree, recorded
+from placeweave.sources.coastline import read_coastline
+from placeweave.sources.parser import called, phrase_tree, recorded
 from placeweave.storage import saved
 
+# Zoom of a map, and its layers' colours and widths.
 _PAGE = (
     '<!DOCTYPE html><html><head><meta charset="utf-8"><link rel="stylesheet" href="https://unpkg.com/leaflet/dist/leaflet.css">'
     '<script src="https://unpkg.com/leaflet/dist/leaflet.js"></script></head><body><div id="map" style="height:100vh"></div><script>'
@@ -23,6 +26,15 @@ _PAGE = (
 )
 
 
+#: Tables that an engine reads from a folder.
+TABLES = {
+    "gazetteer": "address_key string, city string, position int, location string, level string, formatted_address string",
+    "districts": "keyword string, position int, name string, adcode string, level string, polyline string",
+    "osm_elements": "osm_type string, name string, tags map<string,string>, geometry string",
+    "responses": "text string, response string",
+}
+
+
 @dataclass
 class Engine:
     """Tables that stand for a language model and map services; any may be left out."""
@@ -32,19 +44,41 @@ class Engine:
     osm_elements: DataFrame | None = None
     coastline: DataFrame | None = None
     responses: DataFrame | None = None
+    #: Asked for each text's tree in place of recorded answers and phrases.
+    parser: Callable[[str], str] | None = None
+
+    @classmethod
+    def of_tables(cls, spark: SparkSession, folder: str) -> Engine:
+        """From the tables that a folder has under the names above: Parquet (name.parquet), JSON lines (name.json), and coastline.geojson."""
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        there = lambda name: store.exists(path(folder, name))
+        found = {}
+        for name, schema in TABLES.items():
+            if there(f"{name}.parquet"):
+                found[name] = spark.read.parquet(f"{folder}/{name}.parquet")
+            elif there(f"{name}.json"):
+                found[name] = spark.read.schema(schema).json(f"{folder}/{name}.json")
+        if there("coastline.geojson"):
+            found["coastline"] = read_coastline(spark, f"{folder}/coastline.geojson")
+        return cls(**found)
 
     def parse(self, queries: DataFrame) -> DataFrame:
-        """``plan_nodes`` of (query_id, text), by recorded answers if there are any, else by phrases."""
+        """``plan_nodes`` of (query_id, text), by the parser if there is one, by recorded answers if there are any, else by phrases."""
+        if self.parser is not None:
+            return flatten(called(queries, self.parser))
         trees = recorded(queries, self.responses) if self.responses is not None else queries.select("query_id", phrase_tree(F.col("text")).alias("tree"))
         return flatten(trees)
 
     def evaluate_nodes(self, nodes: DataFrame) -> DataFrame:
-        """(query_id, geom, kind, status); leaves are resolved where there are tables for it."""
+        """(query_id, geom, kind, status); leaves are resolved by the tables that there are."""
         nodes = saved(nodes)
-        found = None
-        if self.gazetteer is not None and self.districts is not None and self.osm_elements is not None:
-            K.register(nodes.sparkSession)
-            found = saved(enrich(nodes, saved(resolve(places_of(nodes), self.gazetteer, self.districts, self.osm_elements))))
+        spark, found = nodes.sparkSession, None
+        given = {"gazetteer": self.gazetteer, "districts": self.districts, "osm_elements": self.osm_elements}
+        if any(t is not None for t in given.values()):
+            K.register(spark)
+            tables = [t if t is not None else spark.createDataFrame([], TABLES[name]) for name, t in given.items()]
+            found = saved(enrich(nodes, saved(resolve(places_of(nodes), *tables))))
         return evaluate_nodes(nodes, self.coastline, found)
 
     def evaluate(self, queries: DataFrame) -> DataFrame:
@@ -61,6 +95,11 @@ def write_features(geoms: DataFrame, path: str) -> None:
     features(geoms).select("feature").write.text(path)
 
 
+def write_maps(geoms: DataFrame, path: str) -> None:
+    """A page for each query that succeeded, in a folder of its name."""
+    map_pages(geoms).withColumn("query", F.col("query_id").cast("string")).select("query", F.col("html").alias("value")).write.partitionBy("query").text(path)
+
+
 def summaries(geoms: DataFrame) -> DataFrame:
     """(query_id, summary): type, centroid and bounds of each geometry."""
     m = geoms.filter("status is null").withColumn("m", K.measures("geom"))

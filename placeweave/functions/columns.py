@@ -74,13 +74,23 @@ def strip_fence(text: Column) -> Column:
 
 
 def polyline_rings(polyline: Column) -> Column:
-    """Rings as arrays of points: ``|`` between rings, ``;`` between points, ``,`` in a point. Malformed points and empty rings are dropped; null without any ring."""
+    """Rings as arrays of points: ``|`` between rings, ``;`` between points, ``,`` in a point.
+
+    Points without two parts and empty rings are dropped; null without any
+    ring. Parts that are no numbers are null: see :func:`polyline_malformed`.
+    """
     pairs = lambda ring: F.filter(F.transform(F.split(ring, ";"), lambda p: F.split(p, ",")), lambda p: F.size(p) == 2)
-    rings = F.transform(F.split(polyline, r"\|"), lambda r: F.transform(pairs(r), lambda p: F.struct(p[0].cast("double").alias("x"), p[1].cast("double").alias("y"))))
+    rings = F.transform(F.split(polyline, r"\|"), lambda r: F.transform(pairs(r), lambda p: F.struct(p[0].try_cast("double").alias("x"), p[1].try_cast("double").alias("y"))))
     full = F.filter(rings, lambda r: F.size(r) > 0)
     return F.when(F.size(full) > 0, full)
 
 
+def polyline_malformed(polyline: Column) -> Column:
+    """Whether a point of two parts has one that is no number: such a boundary as a whole is an error."""
+    bad = lambda p: (F.size(p) == 2) & (p[0].try_cast("double").isNull() | p[1].try_cast("double").isNull())
+    return F.coalesce(F.exists(F.split(polyline, r"[|;]"), lambda p: bad(F.split(p, ","))), F.lit(False))
+
+
 def rings_json(rings: Column) -> Column:
     """Rings as a GeoJSON polygon, or multipolygon of polygons without holes."""
     inner = F.transform(rings, lambda r: F.concat(F.lit("[["), F.array_join(F.transform(r, lambda p: F.concat(F.lit("["), p["x"].cast("string"), F.lit(","), p["y"].cast("string"), F.lit("]"))), ","), F.lit("]]")))
@@ -88,11 +98,13 @@ def rings_json(rings: Column) -> Column:
     return F.when(F.size(rings) == 1, one).when(F.size(rings) > 1, F.concat(F.lit('{"type":"MultiPolygon","coordinates":['), F.array_join(inner, ","), F.lit("]}")))
 
 
+# Colours and widths of map layers.
 def map_style(kind: Column) -> Column:
     """Marker, line or fill style of a map layer by geometry type."""
     line = kind.isin("LineString", "MultiLineString")
     return F.when(kind == "Point", "marker:red").when(line, "line:#ff4400;weight:4;opacity:0.8").otherwise("fill:#ff7800;opacity:0.4;line:#ff4400;weight:2")
 
 
+# Fixed value: the name of a feature.
 def feature_json(geometry_json: Column, name: str = "查询区域") -> Column:
     return F.concat(F.lit('{"type":"Feature","geometry":'), geometry_json, F.lit(f',"properties":{{"name":"{name}"}}}}'))

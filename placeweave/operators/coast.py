@@ -9,6 +9,14 @@ from placeweave.functions import kernel as K
 
 #: Side of a grid cell in degrees.
 CELL = 1.0
+#: Parts in which many geometries of one key are dissolved before these are.
+SALTS = 64
+
+
+def dissolved(rows: DataFrame, keys: list[str], geom: str) -> DataFrame:
+    """(keys, geom): the union of each key's geometries, first in SALTS parts, so that a key with many of them isn't one task's."""
+    parts = rows.groupBy(*keys, F.pmod(F.xxhash64(geom), F.lit(SALTS)).alias("salt")).agg(F.collect_list(geom).alias("many")).select(*keys, K.call("Union", "many").alias(geom))
+    return parts.groupBy(*keys).agg(F.collect_list(geom).alias("many")).select(*keys, K.call("Union", "many").alias(geom))
 
 
 def with_cells(rows: DataFrame, geom: str = "geom", cell: float = CELL) -> DataFrame:
@@ -35,4 +43,4 @@ def spatial_pairs(left: DataFrame, right: DataFrame, cell: float = CELL) -> Data
 def coast_lines(areas: DataFrame, coastline: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, coast): what of ``coastline`` (geom) lies in each area (keys, geom); areas without any have no row."""
     pieces = spatial_pairs(areas, coastline.select("geom")).select(*keys, K.call("Intersection", "r_geom", "l_geom").alias("piece"))
-    return pieces.groupBy(*keys).agg(F.collect_list("piece").alias("pieces")).select(*keys, K.call("Union", "pieces").alias("coast"))
+    return dissolved(pieces, keys, "piece").withColumnRenamed("piece", "coast")

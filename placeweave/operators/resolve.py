@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 from placeweave.functions import columns as C
 from placeweave.functions import kernel as K
 from placeweave.functions.pseudo import lookup_boundary
+from placeweave.operators.coast import dissolved
+from placeweave.storage import saved
 
 PLACE = ("name", "in_region", "in_country")
 # What is appended to names of scenic places, of regions and of districts.
@@ -61,7 +63,8 @@ def geocode_candidates(places: DataFrame) -> DataFrame:
 
 def geocoded(candidates: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Candidates with what the gazetteer's first entry for (address, city) says; no row where there is none or its location is malformed."""
-    first = gazetteer.groupBy("address_key", F.coalesce("city", F.lit("")).alias("g_city")).agg(F.min_by(F.struct("location", "level", "formatted_address"), "position").alias("g"))
+    asked = candidates.select(F.col("address").alias("address_key")).distinct()  # only what is asked for is aggregated
+    first = gazetteer.join(asked, "address_key", "left_semi").groupBy("address_key", F.coalesce("city", F.lit("")).alias("g_city")).agg(F.min_by(F.struct("location", "level", "formatted_address"), "position").alias("g"))
     got = candidates.join(first, (F.col("address") == F.col("address_key")) & (F.coalesce("city", F.lit("")) == F.col("g_city")))
     at = F.split("g.location", ",")
     level = F.coalesce("g.level", F.lit("兴趣点"))
@@ -93,22 +96,29 @@ def best_candidate(places: DataFrame, gazetteer: DataFrame) -> DataFrame:
     return best.select("place", "b.*")
 
 
+def precise_bounds(places: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """(place, center_lon, center_lat, radius_km, level, address) of each place's best candidate."""
+    best = best_candidate(places, gazetteer)
+    return best.select("place", F.col("lon").alias("center_lon"), F.col("lat").alias("center_lat"), "radius_km", "level", F.col("found_address").alias("address"))
+
+
 def region_adcode(regions: DataFrame, districts: DataFrame) -> DataFrame:
     """(region, adcode) by the region's name, then its Chinese name, each bare and with suffixes; the first code that isn't empty."""
     region = F.col("region")
     names = [region, C.chinese_name(region)]
     entries = [F.struct(F.when(n.contains(s), n).otherwise(F.concat(n, F.lit(s))).alias("address"), F.lit(None).cast("string").alias("city")) for n in names for s in REGION]
     keys = regions.select("region", F.inline(_ordered(entries))).select("region", "ordinal", F.col("address").alias("keyword"))
-    codes = districts.filter("adcode <> ''").groupBy("keyword").agg(F.min_by("adcode", "position").alias("adcode"))
+    codes = districts.filter("adcode <> ''").join(keys.select("keyword").distinct(), "keyword", "left_semi").groupBy("keyword").agg(F.min_by("adcode", "position").alias("adcode"))
     return keys.join(codes, "keyword").groupBy("region").agg(F.min_by("adcode", "ordinal").alias("adcode"))
 
 
 def district_best(places: DataFrame, districts: DataFrame) -> DataFrame:
-    """(place, boundary, name, level): the district that fits a place best.
+    """(place, boundary, name, level, malformed): the district that fits a place best.
 
     All districts that the place's names find are kept if no soft filter has
     a match: first the region's code prefix, then the exact name. Of those
-    left the smallest kind of district wins, then the earliest.
+    left the smallest kind of district wins, then the earliest. If its
+    polyline has a point that is no number, it is ``malformed`` and has no boundary.
     """
     name, cn = F.col("name"), C.chinese_name(F.col("name"))
     cn_region, cn_country = C.chinese_name(F.col("in_region")), C.chinese_name(F.col("in_country"))
@@ -126,7 +136,9 @@ def district_best(places: DataFrame, districts: DataFrame) -> DataFrame:
     rows = soft(rows, (F.col("d_name") == F.col("name")) | (F.col("d_name") == C.chinese_name(F.col("name"))))
     order = F.struct(F.coalesce(C.lookup(C.DISTRICT_RANK, F.col("d_level")), F.lit(C.DEFAULT_RANK)), "ordinal", "position")
     best = rows.groupBy("place").agg(F.min_by(F.struct("d_name", "d_level", "polyline"), order).alias("b"))
-    return best.select("place", C.rings_json(C.polyline_rings(F.col("b.polyline"))).alias("boundary"), F.col("b.d_name").alias("name"), F.col("b.d_level").alias("level"))
+    bad = C.polyline_malformed(F.col("b.polyline"))
+    boundary = F.when(~bad, C.rings_json(C.polyline_rings(F.col("b.polyline"))))
+    return best.select("place", boundary.alias("boundary"), F.col("b.d_name").alias("name"), F.col("b.d_level").alias("level"), bad.alias("malformed"))
 
 
 def osm_wanted() -> Column:
@@ -137,23 +149,40 @@ def osm_wanted() -> Column:
     return F.coalesce(tag("place"), F.lit(False)) | F.coalesce(area, F.lit(False)) | F.coalesce(relation, F.lit(False))
 
 
-def osm_boundary(elements: DataFrame) -> DataFrame:
-    """(name, boundary): polygons, and closed lines as polygons, of a name's elements, dissolved; others and bad geometries are passed over."""
-    parts = elements.filter(osm_wanted()).select("name", K.call("Areal", K.from_geojson("geometry")).alias("g")).filter("g is not null")
-    return parts.groupBy("name").agg(K.call("Union", F.collect_list("g")).alias("g")).select("name", K.to_geojson("g").alias("boundary"))
+def osm_boundary(elements: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(name, boundary): polygons, and closed lines as polygons, of a name's elements, dissolved; others and bad geometries are passed over.
+
+    With ``names`` (name) only those are looked up.
+    """
+    wanted = elements.filter(osm_wanted())
+    if names is not None:
+        wanted = wanted.join(names.select("name").distinct(), "name", "left_semi")
+    parts = wanted.select("name", K.call("Areal", K.from_geojson("geometry")).alias("g")).filter("g is not null")
+    return dissolved(parts, ["name"], "g").select("name", K.to_geojson("g").alias("boundary"))
 
 
 def resolve(places: DataFrame, gazetteer: DataFrame, districts: DataFrame, osm_elements: DataFrame) -> DataFrame:
-    """(place, boundary, lon, lat, radius_km, level, source): the first of district, map features and a point with a drawn boundary."""
+    """(place, boundary, lon, lat, radius_km, level, source): the first of district, map features and a point with a drawn boundary.
+
+    Each source is asked once, for the places that those before it left. A
+    place whose district boundary is malformed goes to a point without a
+    boundary at once ("point after error"): it is drawn around its centre
+    when its tree is evaluated.
+    """
     K.register(places.sparkSession)
-    by_district = district_best(places, districts).filter("boundary is not null").select("place", "boundary", F.lit(None).cast("double").alias("radius_km"), F.lit(None).cast("string").alias("level"), F.lit("district").alias("source"))
-    rest = places.join(by_district.select("place"), "place", "left_anti")
-    by_osm = rest.join(osm_boundary(osm_elements), "name").select("place", "boundary", F.lit(None).cast("double").alias("radius_km"), F.lit(None).cast("string").alias("level"), F.lit("osm").alias("source"))
-    rest = rest.join(by_osm.select("place"), "place", "left_anti")
-    point = best_candidate(rest, gazetteer)
-    by_point = point.select("place", lookup_boundary(F.col("lon"), F.col("lat"), F.col("radius_km")).alias("boundary"), "radius_km", "level", F.lit("point").alias("source"))
-    found = by_district.unionByName(by_osm).unionByName(by_point).withColumn("m", K.measures(K.from_geojson("boundary")))
-    return found.select("place", "boundary", F.col("m.cx").alias("lon"), F.col("m.cy").alias("lat"), "radius_km", "level", "source")
+    none = lambda kind: F.lit(None).cast(kind)
+    places = saved(places)
+    district = saved(district_best(places, districts).select("place", "boundary", "malformed").filter("boundary is not null or malformed"))
+    rest = places.join(district.select("place"), "place", "left_anti")
+    by_osm = saved(rest.join(osm_boundary(osm_elements, rest), "name").select("place", "boundary"))
+    asked = rest.join(by_osm.select("place"), "place", "left_anti").withColumn("failed", F.lit(False)).unionByName(places.join(district.filter("malformed").select("place"), "place", "left_semi").withColumn("failed", F.lit(True)))
+    point = best_candidate(asked.drop("failed"), gazetteer).join(asked.select("place", "failed"), "place")
+    drawn = lookup_boundary(*[F.when(~F.col("failed"), F.col(c)) for c in ("lon", "lat", "radius_km")])
+    by_point = point.select("place", drawn.alias("boundary"), "lon", "lat", "radius_km", "level", F.when(F.col("failed"), "point after error").otherwise("point").alias("source"))
+    areas = district.filter("not malformed").select("place", "boundary", F.lit("district").alias("source")).unionByName(by_osm.withColumn("source", F.lit("osm")))
+    areas = areas.select("place", "boundary", none("double").alias("lon"), none("double").alias("lat"), none("double").alias("radius_km"), none("string").alias("level"), "source")
+    found = areas.unionByName(by_point).withColumn("m", K.measures(K.from_geojson("boundary")))
+    return found.select("place", "boundary", F.coalesce("m.cx", "lon").alias("lon"), F.coalesce("m.cy", "lat").alias("lat"), "radius_km", "level", "source")
 
 
 def enrich(nodes: DataFrame, resolved: DataFrame) -> DataFrame:

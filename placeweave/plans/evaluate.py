@@ -31,7 +31,7 @@ def _status(coast: bool) -> Column:
     bad_direction = (t == "DirectionalConstraint") & F.col("has_direction") & ~F.coalesce(F.col("direction").isin(*C.DIRECTIONS), F.lit(False))
     first = F.filter(kids, lambda k: k["status"].isNotNull())
     return (
-        F.when(t.isNull(), "E1")
+        F.when(F.col("too_deep"), "E_TOO_DEEP").when(t.isNull(), "E1")
         .when(~t.isin("NamedPlace", *ONE_CHILD, *TWO_CHILDREN, *MANY_CHILDREN), "E3")
         .when(t.isin(*COASTAL) & F.lit(not coast), "E9")
         .when(missing, "E5").when(bad_direction, "E4")
@@ -57,64 +57,71 @@ def evaluate_nodes(nodes: DataFrame, coastline: DataFrame | None = None, boundar
     K.register(spark)
     nodes = saved(nodes)
     deepest = nodes.agg(F.max("depth")).first()[0]
-    kid = "struct<ordinal:int,role:string,geom:binary,status:string>"
+    if deepest is None:
+        return spark.createDataFrame([], "query_id string, geom binary, kind string, status string")
+    # Places have no children, so those of all levels are made at once.
+    is_place = (F.col("node_type") == "NamedPlace") & ~F.col("too_deep")
+    places = saved(_places(nodes.filter(is_place), boundaries))
+    inner = nodes.filter(~F.coalesce(is_place, F.lit(False)))
+    kid = "array<struct<ordinal:int,role:string,geom:binary,status:string>>"
     below = None
-    for depth in range(deepest if deepest is not None else -1, -1, -1):
-        here = nodes.filter(F.col("depth") == depth)
-        if boundaries is not None:
-            found = boundaries.select("query_id", "node_id", F.col("boundary").alias("f_boundary"), F.col("lon").alias("f_lon"), F.col("lat").alias("f_lat"), F.col("radius_km").alias("f_radius"), F.col("level").alias("f_level"))
-            here = here.join(found, ["query_id", "node_id"], "left")
-            here = here.withColumns({"inline_geojson": F.coalesce("f_boundary", "inline_geojson"), "center_lon": F.coalesce("f_lon", "center_lon"), "center_lat": F.coalesce("f_lat", "center_lat"), "radius_km": F.coalesce("f_radius", "radius_km"), "level": F.coalesce("f_level", "level")})
-        if below is not None:
-            kids = below.groupBy("query_id", F.col("parent_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "role", "geom", "status"))).alias("kids"))
-            here = here.join(kids, ["query_id", "node_id"], "left")
+    for depth in range(deepest, -1, -1):
+        here = inner.filter(F.col("depth") == depth)
+        if depth == deepest:
+            here = here.withColumn("kids", F.array().cast(kid))
         else:
-            here = here.withColumn("kids", F.lit(None).cast(f"array<{kid}>"))
-        below = saved(_level(here.withColumn("kids", F.coalesce("kids", F.array().cast(f"array<{kid}>"))), coastline))
-    if below is None:
-        return spark.createDataFrame([], "query_id string, geom binary, kind string, status string")
+            kids = below.groupBy("query_id", F.col("parent_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "role", "geom", "status"))).alias("kids"))
+            here = here.join(kids, ["query_id", "node_id"], "left").withColumn("kids", F.coalesce("kids", F.array().cast(kid)))
+        below = saved(_level(here, coastline)).unionByName(places.filter(F.col("depth") == depth).drop("depth"))
     return below.filter("role = 'root'").select("query_id", "geom", K.call("Kind", "geom").alias("kind"), "status")
 
 
+def _places(rows: DataFrame, boundaries: DataFrame | None) -> DataFrame:
+    """Each place: its boundary if it has one that parses and isn't empty, else one drawn around its centre, else E2."""
+    if boundaries is not None:
+        found = boundaries.select("query_id", "node_id", F.col("boundary").alias("f_boundary"), F.col("lon").alias("f_lon"), F.col("lat").alias("f_lat"), F.col("radius_km").alias("f_radius"), F.col("level").alias("f_level"))
+        rows = rows.join(found, ["query_id", "node_id"], "left")
+        rows = rows.withColumns({"inline_geojson": F.coalesce("f_boundary", "inline_geojson"), "center_lon": F.coalesce("f_lon", "center_lon"), "center_lat": F.coalesce("f_lat", "center_lat"), "radius_km": F.coalesce("f_radius", "radius_km"), "level": F.coalesce("f_level", "level")})
+    given = K.from_geojson(F.col("inline_geojson"))
+    rows = rows.withColumn("given", F.when(~K.call("Empty", given), given))
+    radius = C.effective_radius_km(F.col("level"), F.col("radius_km"))
+    without = F.col("given").isNull()
+    drawn = place_boundary(*[F.when(without, c) for c in (F.col("center_lon"), F.col("center_lat"), radius)])
+    rows = rows.withColumn("drawn", drawn).withColumn("geom", F.coalesce("given", K.from_geojson("drawn")))
+    return rows.select("query_id", "parent_id", "node_id", "role", "ordinal", "geom", F.when(F.col("geom").isNull(), "E2").alias("status"), "depth")
+
+
 def _level(rows: DataFrame, coastline: DataFrame | None) -> DataFrame:
     rows = rows.withColumns({"c": _one("child_node"), "a": _one("child_node_1"), "b": _one("child_node_2"), "many": F.transform(F.filter("kids", lambda k: k["role"] == "child_nodes"), lambda k: k["geom"])})
     rows = rows.withColumn("status", _status(coastline is not None))
     m = F.col("m")
-    measured = F.when(F.col("node_type").isin(*ONE_CHILD), F.col("c.geom"))
-    rows = rows.withColumn("m", K.measures(measured)).withColumn("ma", K.measures(F.when(F.col("node_type") == "BorderBetween", F.col("a.geom")))).withColumn("mb", K.measures(F.when(F.col("node_type") == "BorderBetween", F.col("b.geom"))))
     t = F.col("node_type")
+    border = t == "BorderBetween"
+    rows = rows.withColumns({"m": K.measures(F.when(t.isin(*ONE_CHILD), F.col("c.geom"))), "ma": K.measures(F.when(border, F.col("a.geom"))), "mb": K.measures(F.when(border, F.col("b.geom")))})
     if coastline is not None:
         rows = _with_coast(rows, coastline)
     else:
         rows = rows.withColumn("coast", F.lit(None).cast("binary"))
     arg = lambda name: F.when(F.col(f"has_{DEFAULTS[name][0]}"), F.col(DEFAULTS[name][0])).otherwise(F.lit(DEFAULTS[name][1]))
-    # A place: its boundary if it has one that parses and isn't empty, else a drawn one around its centre.
-    given = K.from_geojson(F.col("inline_geojson"))
-    given = F.when(~K.call("Empty", given), given)
-    radius = C.effective_radius_km(F.col("level"), F.col("radius_km"))
-    rows = rows.withColumn("given", F.when(t == "NamedPlace", given))
-    no_place = (t == "NamedPlace") & F.col("given").isNull()
-    rows = rows.withColumn("drawn", place_boundary(F.when(no_place, F.col("center_lon")), F.when(no_place, F.col("center_lat")), F.when(no_place, radius)))
     box = C.box_json(*C.side_box(F.when(F.col("has_direction"), F.col("direction")).otherwise("north"), m["minx"], m["miny"], m["maxx"], m["maxy"], C.km_to_degrees(arg("DirectionalConstraint"), m["cy"])))
     grown = lambda side, of: K.call("Buffer", F.col(f"{side}.geom"), C.km_to_degrees(F.lit(BORDER_KM), F.col(f"{of}.cy")))
     folded = F.aggregate("many", F.lit(None).cast("binary"), lambda s, g: F.when(s.isNull(), K.call("Buffer", g, F.lit(INTERSECTION_BUFFER))).otherwise(K.call("Intersection", s, K.call("Buffer", g, F.lit(INTERSECTION_BUFFER)))))
     geom = (
-        F.when(t == "NamedPlace", F.coalesce("given", K.from_geojson(F.col("drawn"))))
-        .when(t == "Buffer", K.call("Buffer", F.col("c.geom"), C.km_to_degrees(arg("Buffer"), m["cy"])))
+        F.when(t == "Buffer", K.call("Buffer", F.col("c.geom"), C.km_to_degrees(arg("Buffer"), m["cy"])))
         .when(t == "DirectionalConstraint", K.from_geojson(box))
         .when(t == "Intersection", folded)
         .when(t == "Union", K.call("Union", "many"))
         .when(t == "Between", K.call("Between", F.col("a.geom"), F.col("b.geom")))
         .when(t == "Difference", K.call("Difference", F.col("a.geom"), F.col("b.geom")))
-        .when(t == "BorderBetween", K.call("Intersection", grown("a", "ma"), grown("b", "mb")))
+        .when(border, K.call("Intersection", grown("a", "ma"), grown("b", "mb")))
         .when(t == "BorderOf", K.call("Boundary", F.col("c.geom")))
         .when(t == "CoastOf", F.col("coast"))
         .when(t == "OffTheCoastOf", K.call("Difference", K.call("Buffer", F.col("coast"), C.km_to_degrees(arg("OffTheCoastOf"), m["cy"])), F.col("c.geom")))
     )
     done = rows.withColumn("geom", F.when(F.col("status").isNull(), geom)).withColumn("empty", F.coalesce(K.call("Empty", "geom"), F.lit(True)))
     no_coast = t.isin(*COASTAL) & F.col("coast").isNull()
-    code = F.when(t == "Intersection", "E6").when(t == "Between", "E10").when(t == "Difference", "E11").when(t == "BorderBetween", "E12").when(t == "BorderOf", "E13").when(no_coast, "E14").when(t == "OffTheCoastOf", "E15")
-    late = F.when((t == "NamedPlace") & F.col("geom").isNull(), "E2").when(no_coast, "E14").when(F.col("geom").isNull(), "E_UNSUPPORTED").when(F.col("empty"), code)
+    code = F.when(t == "Intersection", "E6").when(t == "Between", "E10").when(t == "Difference", "E11").when(border, "E12").when(t == "BorderOf", "E13").when(no_coast, "E14").when(t == "OffTheCoastOf", "E15")
+    late = F.when(no_coast, "E14").when(F.col("geom").isNull(), "E_UNSUPPORTED").when(F.col("empty"), code)
     final = F.coalesce("status", late)
     return done.select("query_id", "parent_id", "node_id", "role", "ordinal", F.when(final.isNull(), F.col("geom")).alias("geom"), final.alias("status"))
 

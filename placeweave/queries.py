@@ -16,6 +16,7 @@ from placeweave.operators import resolve as R
 from placeweave.operators.coast import spatial_pairs
 from placeweave.plans.evaluate import evaluate_trees
 from placeweave.plans.flatten import flatten
+from placeweave.sources.examples import EXAMPLES
 from placeweave.sources.parser import phrase_tree
 from placeweave.streaming.directional import beside, streamed
 
@@ -80,15 +81,14 @@ def measured(spark: SparkSession, rows: DataFrame, tree: Column, *wanted: str, c
     return m.select(F.col("query_id").alias("k"), "status", *[F.round(f"m.{w}", digits).alias(w) for w in wanted])
 
 
-def simple(name: str, tree: Callable[[], Column], sql: str, *wanted: str, coast: bool = False, where: str | None = None) -> None:
+def simple(name: str, tree: Callable[[], Column], sql: str, *wanted: str, coast: bool = False) -> None:
     """Register a query of one tree for each nation."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = nations(spark, sf_dir)
-        return measured(spark, rows.filter(where) if where else rows, tree(), *wanted, coast=coast)
+        return measured(spark, nations(spark, sf_dir), tree(), *wanted, coast=coast)
 
     QUERIES[name] = run
-    SQL[name] = f"WITH {BOXES} SELECT k, NULL::VARCHAR AS status, {sql} FROM b" + (f" WHERE {where}" if where else "")
+    SQL[name] = f"WITH {BOXES} SELECT k, NULL::VARCHAR AS status, {sql} FROM b"
 
 
 HERE, EAST = lambda: F.col("here"), lambda: F.col("east")
@@ -119,11 +119,13 @@ simple("difference_area", lambda: node("Difference", child_node_1=HERE(), child_
 simple("between_area", lambda: node("Between", child_node_1=HERE(), child_node_2=SHIFT(6, 4)), "16.0::DOUBLE AS area", "area")
 simple("border_between_area", lambda: node("BorderBetween", child_node_1=HERE(), child_node_2=EAST()), f"round(4 * {D('3.5')} + {ROUND} * {D('3.5')} * {D('3.5')}, 6) AS area", "area")
 simple("border_of_length", lambda: node("BorderOf", child_node=HERE()), "8.0::DOUBLE AS length", "length")
-simple("coast_of_length", lambda: node("CoastOf", child_node=HERE()), f"round(2 + 2 * {D('2')}, 6) AS length", "length", coast=True, where="y = 20")
+simple("coast_of_length", lambda: node("CoastOf", child_node=HERE()), f"CASE WHEN y = 20 THEN round(2 + 2 * {D('2')}, 6) END AS length", "length", coast=True)
 simple(
     "off_coast_area", lambda: node("OffTheCoastOf", distance_km=10, child_node=HERE()),
-    f"round(2 * (2 + 2 * {D('2')}) * {D('10')} + {ROUND} * {D('10')} * {D('10')} - 2 * {D('10')}, 6) AS area", "area", coast=True, where="y = 20",
+    f"CASE WHEN y = 20 THEN round(2 * (2 + 2 * {D('2')}) * {D('10')} + {ROUND} * {D('10')} * {D('10')} - 2 * {D('10')}, 6) END AS area", "area", coast=True,
 )
+for _name in ("coast_of_length", "off_coast_area"):  # the coast is along the lowest row of boxes, the others have none
+    SQL[_name] = SQL[_name].replace("NULL::VARCHAR AS status", "CASE WHEN y > 20 THEN 'E14' END AS status")
 simple("nested_intersections", lambda: node("Intersection", child_nodes=listed(node("Union", child_nodes=listed(HERE(), EAST())), node("Difference", child_node_1=HERE(), child_node_2=SHIFT(1, 0)))), f"round((1 + 2 * {R2}::DOUBLE) * (2 + 2 * {R2}::DOUBLE) - 4 * ({R2}::DOUBLE * {R2}::DOUBLE - {ROUND} * {R2}::DOUBLE * {R2}::DOUBLE / 4), 6) AS area", "area")
 
 
@@ -150,10 +152,36 @@ FAILING: dict[str, tuple[str, str]] = {
 }
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v[0]}')" for k, v in FAILING.items()) + ") t(query_id, status)")
+# Trees that fail where there is a coastline: the straight one, which ends at 120 degrees east.
+_AT_COAST = {"_polygon": {"type": "Polygon", "coordinates": [[[100, 19.99], [102, 19.99], [102, 20.01], [100, 20.01], [100, 19.99]]]}}
+FAILING_AT_COAST: dict[str, tuple[str, str]] = {
+    "coast is far": ("E14", json.dumps({"node_type": "CoastOf", "child_node": _BOX})), "nothing off a far coast": ("E14", json.dumps({"node_type": "OffTheCoastOf", "child_node": _BOX})),
+    "nothing is off": ("E15", json.dumps({"node_type": "OffTheCoastOf", "distance_km": 0, "child_node": _AT_COAST})), "coast of nothing": ("E5", '{"node_type":"CoastOf"}'),
+    "unresolved": ("E2", json.dumps({"node_type": "CoastOf", "child_node": {"name": "nowhere"}})),
+}
+
+
+def _for_regions(spark: SparkSession, sf_dir: str, trees: dict[str, tuple[str, str]]) -> DataFrame:
+    """(query_id, tree) of each tree for each region."""
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v[1]).alias("tree")) for k, v in trees.items()])
+    return table(spark, sf_dir, "region").select("r_name", F.inline(each)).select(F.concat_ws("/", "r_name", "k").alias("query_id"), "tree")
+
+
+@query("SELECT r_name || '/' || k AS query_id, status FROM region, (VALUES " + ", ".join(f"('{k}', '{v[0]}')" for k, v in (FAILING | FAILING_AT_COAST).items()) + ") t(k, status)")
 def error_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trees = spark.createDataFrame([(k, v[1]) for k, v in FAILING.items()], "query_id string, tree string")
-    return evaluate_trees(trees).select("query_id", "status")
+    """Each way to fail, for each region; what finds no source (E16 of the sources) has no place (E2)."""
+    at_coast = Engine(coastline=straight_coast(spark), osm_elements=_osm(spark, sf_dir))
+    inland = evaluate_trees(_for_regions(spark, sf_dir, FAILING))
+    return inland.unionByName(at_coast.evaluate_nodes(flatten(_for_regions(spark, sf_dir, FAILING_AT_COAST)))).select("query_id", "status")
+
+
+@query(f"WITH {BOXES} SELECT k, CASE WHEN k % 5 = 3 THEN 'E_TOO_DEEP' END AS status, CASE WHEN k % 5 <> 3 THEN 4.0::DOUBLE END AS area FROM b")
+def deep_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unions of a box with itself, 3 levels deep, and every fifth 40: one that is too deep fails alone."""
+    rows = nations(spark, sf_dir)
+    levels = F.when(F.col("k") % 5 == 3, 40).otherwise(3)
+    grown = F.aggregate(F.sequence(F.lit(1), levels), F.col("here"), lambda t, i: node("Union", child_nodes=listed(t, F.col("here"))))
+    return measured(spark, rows, grown, "area")
 
 
 @query("SELECT n_nationkey AS query_id, count(*)::BIGINT AS nodes, 2 AS deepest, 2::BIGINT AS places FROM nation, range(4) GROUP BY ALL")
@@ -162,13 +190,16 @@ def flatten_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten(rows).groupBy("query_id").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("deepest"), F.count_if(F.col("node_type") == "NamedPlace").alias("places"))
 
 
-_NAMES = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in C.NAMES.items()) + ") m(en, cn)"
-_ASKED = ["Beijing", "beijing", "BEIJING", "Tibet", "tibet", "Asia", "Inner Mongolia", "广东", "", "Hong Kong", "HONG KONG"]
+# Chinese names that the look-up has to give, and None where it has none.
+_ASKED = {"Beijing": "北京", "beijing": "北京", "BEIJING": "北京", "Tibet": "西藏", "tibet": None, "Asia": "亚洲", "ASIA": "亚洲", "Inner Mongolia": "内蒙古", "广东": None, "": None, "Hong Kong": "香港", "HONG KONG": "香港", "neimenggu": "内蒙古", "Shaanxi": "陕西", "shanxi": "山西", "Tianjin": None, "China": "中国"}
 
 
-@query(f"SELECT a AS name, coalesce((SELECT cn FROM {_NAMES} WHERE en = a), (SELECT cn FROM {_NAMES} WHERE en = lower(a))) AS chinese FROM (VALUES " + ", ".join(f"('{x}')" for x in _ASKED) + ") t(a)")
+@query(f"SELECT n_nationkey AS k, r_name AS region, CASE r_name WHEN 'ASIA' THEN '亚洲' END AS region_chinese, a AS name, c AS chinese FROM nation JOIN region ON n_regionkey = r_regionkey JOIN (VALUES " + ", ".join(f"({i}, '{k}', {repr(v) if v else 'NULL'})" for i, (k, v) in enumerate(_ASKED.items())) + f") t(i, a, c) ON n_nationkey % {len(_ASKED)} = i")
 def translate_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in _ASKED], "name string").select("name", C.chinese_name(F.col("name")).alias("chinese"))
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    asked = F.element_at(F.array(*map(F.lit, _ASKED)), (F.col("n_nationkey") % len(_ASKED) + 1).cast("int"))
+    rows = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("k"), F.col("r_name").alias("region"), asked.alias("name"))
+    return rows.select("k", "region", C.chinese_name(F.col("region")).alias("region_chinese"), "name", C.chinese_name(F.col("name")).alias("chinese"))
 
 
 _LEVELS = ["兴趣点", "门牌号", "村庄", "乡镇", "区县", "市", "省", "国家"]
@@ -217,6 +248,13 @@ def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("k", "level", "found_address", "radius_km", F.round("lon", 6).alias("lon"))
 
 
+@query(SQL["best_candidate"].replace("SELECT k, level, address AS found_address,", "SELECT k, level, address,").replace(" AS lon", " AS center_lon, round(20 + ((k * 29) % 1000) / 100.0::DOUBLE, 6) AS center_lat"))
+def precise_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _customers(spark, sf_dir)
+    found = R.precise_bounds(c.drop("k"), _gazetteer(c)).join(c.select("place", "k"), "place")
+    return found.select("k", "level", "address", "radius_km", F.round("center_lon", 6).alias("center_lon"), F.round("center_lat", 6).alias("center_lat"))
+
+
 def _districts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as districts of two kinds, under their own name, and regions with codes."""
     rows = nations(spark, sf_dir).join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_name", "n_regionkey"), "k")
@@ -247,11 +285,77 @@ def district_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.get_json_object("place", "$.name").alias("place"), "name", "level", F.round(K.measures(K.from_geojson("boundary"))["area"], 6).alias("area"))
 
 
-@query("SELECT * FROM (VALUES (1, 1, 3), (2, 2, 6), (3, 1, 2), (4, NULL, NULL)) t(id, rings, points)")
+@query(
+    """SELECT n_nationkey AS k, n_nationkey % 6 = 5 AS malformed, CASE n_nationkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN NULL WHEN 4 THEN 1 ELSE 1 END AS rings,
+CASE n_nationkey % 6 WHEN 0 THEN 3 WHEN 1 THEN 5 WHEN 2 THEN 2 WHEN 3 THEN NULL WHEN 4 THEN 3 ELSE 3 END AS points,
+CASE WHEN n_nationkey % 6 <> 3 THEN n_nationkey / 4.0::DOUBLE END AS first_x FROM nation"""
+)
 def polyline_to_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "1,2;3,4;5,6"), (2, "1,2;3,4;5,6|7,8;9,10;11,12"), (3, "1,2;bad;3,4|"), (4, "")], "id int, polyline string")
-    rings = C.polyline_rings(F.col("polyline"))
-    return rows.select("id", rings.alias("r")).select("id", F.when(F.col("r").isNotNull(), F.size("r")).alias("rings"), F.when(F.col("r").isNotNull(), F.aggregate("r", F.lit(0), lambda n, r: n + F.size(r))).alias("points"))
+    """Polylines of six kinds: one ring, two, a point without a comma and an empty ring, nothing, spaces and exponents, a point that is no number."""
+    k = F.col("n_nationkey")
+    x = (k / 4.0).cast("string")
+    ring = F.concat(x, F.lit(",2;3,4;5,6"))
+    kinds = [ring, F.concat(ring, F.lit("|7,8;9,10")), F.concat(x, F.lit(",2;bad;3,4|")), F.lit(""), F.concat(x, F.lit(", 2;3e0,4;5,6")), F.concat(x, F.lit(",2;x,y;5,6"))]
+    line = F.element_at(F.array(*kinds), (k % 6 + 1).cast("int"))
+    rows = table(spark, sf_dir, "nation").select(k.alias("k"), C.polyline_malformed(line).alias("malformed"), C.polyline_rings(line).alias("r"))
+    some = F.col("r").isNotNull()
+    return rows.select("k", "malformed", F.when(some, F.size("r")).alias("rings"), F.when(some, F.aggregate("r", F.lit(0), lambda n, r: n + F.size(r))).alias("points"), F.get("r", 0)[0]["x"].alias("first_x"))
+
+
+@query(
+    """SELECT n_name AS name, CASE n_nationkey % 3 WHEN 0 THEN 'district' WHEN 1 THEN 'point after error' ELSE 'osm' END AS source,
+CASE WHEN n_nationkey % 3 <> 1 THEN 1.0::DOUBLE END AS area, CASE WHEN n_nationkey % 3 = 1 THEN n_nationkey + 0.5::DOUBLE ELSE 0.5::DOUBLE END AS lon FROM nation"""
+)
+def malformed_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of which each third has a boundary with a point that is no number, and each third a map feature alone."""
+    K.register(spark)
+    k, none = F.col("n_nationkey"), F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "nation")
+    places = rows.select(F.col("n_name").alias("name"), none.alias("in_region"), none.alias("in_country")).withColumn("place", R._key())
+    line = F.when(k % 3 == 0, "0,0;1,0;1,1;0,1").when(k % 3 == 1, "0,0;1,0;1,one;0,1").otherwise("")
+    districts = rows.select(F.col("n_name").alias("keyword"), F.lit(0).alias("position"), F.col("n_name").alias("name"), F.lit("110000").alias("adcode"), F.lit("city").alias("level"), line.alias("polyline"))
+    osm = rows.select(F.lit("way").alias("osm_type"), F.col("n_name").alias("name"), F.create_map(F.lit("place"), F.lit("city")).alias("tags"), C.box_json(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("geometry"))
+    gazetteer = rows.select(F.col("n_name").alias("address_key"), none.alias("city"), F.lit(0).alias("position"), F.concat((k + 0.5).cast("string"), F.lit(",1")).alias("location"), F.lit("市").alias("level"), F.col("n_name").alias("formatted_address"))
+    found = R.resolve(places, gazetteer, districts, osm)
+    return found.select(F.get_json_object("place", "$.name").alias("name"), "source", F.round(K.measures(K.from_geojson("boundary"))["area"], 6).alias("area"), F.round("lon", 6).alias("lon"))
+
+
+_STEPS = "CASE n_nationkey % 5 WHEN 0 THEN '' WHEN 1 THEN '省' WHEN 2 THEN '市' WHEN 3 THEN '区' ELSE '县' END"
+
+
+@query(f"SELECT n_name AS region, printf('%02d', n_nationkey + 11) || CASE n_nationkey % 3 WHEN 0 THEN '0000' WHEN 1 THEN '0100' ELSE '0101' END AS adcode FROM nation UNION ALL SELECT '北京', '110000' UNION ALL SELECT 'Beijing', '110000'")
+def region_adcode_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes that are found by a suffix, and by the Chinese name with one."""
+    rows = _stepped(spark, sf_dir)
+    one = spark.range(1).select(F.lit("北京市").alias("keyword"), F.lit(0).alias("position"), F.lit("110000").alias("adcode"))
+    asked = table(spark, sf_dir, "nation").select(F.col("n_name").alias("region")).unionByName(spark.range(1).select(F.explode(F.array(F.lit("北京"), F.lit("Beijing"))).alias("region")))
+    return R.region_adcode(asked, rows.select("keyword", "position", "adcode").unionByName(one))
+
+
+def _stepped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Districts named by nations with one of five suffixes, with codes of a province, a city and a district."""
+    k = F.col("n_nationkey")
+    suffix = F.element_at(F.array(*map(F.lit, R.REGION)), (k % 5 + 1).cast("int"))
+    code = F.concat((k + 11).cast("string"), F.element_at(F.array(F.lit("0000"), F.lit("0100"), F.lit("0101")), (k % 3 + 1).cast("int")))
+    name = F.concat("n_name", suffix)
+    return table(spark, sf_dir, "nation").select(k, name.alias("keyword"), F.lit(0).alias("position"), name.alias("name"), code.alias("adcode"))
+
+
+@query("SELECT s_suppkey AS k, CASE WHEN s_nationkey % 3 = 0 THEN 'own province' WHEN s_nationkey % 3 = 1 THEN 'own city' ELSE 'first of all' END AS name FROM supplier")
+def district_soft_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as districts in four places: the region's code keeps two digits, four, or all, which filters nothing; one whose code nothing matches filters nothing either."""
+    K.register(spark)
+    s, regions = table(spark, sf_dir, "supplier"), _stepped(spark, sf_dir)
+    suffixed = regions.select("n_nationkey", F.col("keyword").alias("region"), F.col("adcode").alias("code"))
+    rows = s.join(suffixed, s.s_nationkey == suffixed.n_nationkey)
+    entries = [("first of all", F.lit("990101")), ("own province", F.concat(F.substring("code", 1, 2), F.lit("9900"))), ("own city", F.concat(F.substring("code", 1, 4), F.lit("99")))]
+    kinds = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("name"), c.alias("adcode")) for i, (n, c) in enumerate(entries)])
+    # Of a city's code the entry of the province alone doesn't match; a whole code is no prefix.
+    each = rows.select(F.col("s_name").alias("keyword"), F.inline(kinds)).withColumns({"level": F.lit("city"), "polyline": F.lit("0,0;1,0;1,1")})
+    own = regions.select("keyword", "position", "name", "adcode", F.lit("province").alias("level"), F.lit("").alias("polyline"))
+    places = rows.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("region").alias("in_region"), F.lit(None).cast("string").alias("in_country")).withColumn("place", R._key())
+    best = R.district_best(places.drop("k"), each.unionByName(own.select(*each.columns)))
+    return best.join(places.select("place", "k"), "place").select("k", "name")
 
 
 def _osm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,10 +395,15 @@ def source_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.resolve(places, _gazetteer(customers), _districts(spark, sf_dir), _osm(spark, sf_dir)).groupBy("source").agg(F.count(F.lit(1)).alias("places"))
 
 
-@query("SELECT * FROM (VALUES (1, 0.15), (2, 2.0), (3, 0.5), (4, 7.0), (5, 0.5), (6, 0.15)) t(id, radius_km)")
+@query(
+    f"""SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 7 + 1.5::DOUBLE ELSE CASE {_LEVEL_SQL.replace('k % 8', 'c_custkey % 8')} WHEN '兴趣点' THEN 0.15 WHEN '门牌号' THEN 0.15 WHEN '村庄' THEN 0.5 WHEN '乡镇' THEN 2.0 ELSE 0.5 END::DOUBLE END AS radius_km FROM customer"""
+)
 def effective_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "兴趣点", None), (2, "乡镇", None), (3, "村庄", 0.0), (4, "市", 7.0), (5, None, None), (6, "门牌号", 0.0)], "id int, level string, r double")
-    return rows.select("id", C.effective_radius_km(F.col("level"), F.col("r")).alias("radius_km"))
+    """Radii of customers of eight levels: given, null and 0."""
+    k = F.col("c_custkey")
+    given = F.when(k % 3 == 0, k % 7 + 1.5).when(k % 3 == 1, 0.0)
+    level = F.element_at(F.array(*map(F.lit, _LEVELS)), (k % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select(k.alias("k"), C.effective_radius_km(level, given).alias("radius_km"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS bare FROM conversations""")
@@ -303,9 +412,18 @@ def strip_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.strip_fence(fenced).alias("bare"))
 
 
-@query("SELECT * FROM (VALUES ('Point', 'marker:red'), ('LineString', 'line:#ff4400;weight:4;opacity:0.8'), ('MultiLineString', 'line:#ff4400;weight:4;opacity:0.8'), ('Polygon', 'fill:#ff7800;opacity:0.4;line:#ff4400;weight:2')) t(kind, style)")
+@query("SELECT n_nationkey AS k, CASE n_nationkey % 5 WHEN 0 THEN 'marker:red' WHEN 1 THEN 'line:#ff4400;weight:4;opacity:0.8' WHEN 2 THEN 'line:#ff4400;weight:4;opacity:0.8' ELSE 'fill:#ff7800;opacity:0.4;line:#ff4400;weight:2' END AS style FROM nation")
 def map_style(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([("Point",), ("LineString",), ("MultiLineString",), ("Polygon",)], "kind string").select("kind", C.map_style(F.col("kind")).alias("style"))
+    """Styles of geometries made from each nation's box: a corner, an edge, two edges, the box, and two boxes."""
+    K.register(spark)
+    x, y = F.col("x").cast("string"), F.col("y").cast("string")
+    edge = F.concat(F.lit("[["), x, F.lit(","), y, F.lit("],["), x, F.lit(",0]]"))
+    js = lambda kind, at: F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), at, F.lit("}"))
+    box = C.box_json(F.col("x"), F.col("y"), F.col("x") + 2, F.col("y") + 2)
+    rings = F.concat(F.lit("["), F.get_json_object(box, "$.coordinates"), F.lit("]"))
+    shapes = [js("Point", F.concat(F.lit("["), x, F.lit(","), y, F.lit("]"))), js("LineString", edge), js("MultiLineString", F.concat(F.lit("["), edge, F.lit("]"))), box, js("MultiPolygon", rings)]
+    shape = F.element_at(F.array(*shapes), (F.col("k") % 5 + 1).cast("int"))
+    return nations(spark, sf_dir).select("k", C.map_style(K.call("Kind", K.from_geojson(shape))).alias("style"))
 
 
 @query(f"WITH {BOXES} SELECT k, 'Feature' AS type, '查询区域' AS name, 'Polygon' AS kind, 5::BIGINT AS corners FROM b")
@@ -328,26 +446,95 @@ def spatial_join_supplier_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial_pairs(points, boxes).select("s_suppkey", "k")
 
 
-_TEXTS = {
-    "广东省除了深圳": "Difference", "法国和西班牙的边界": "BorderBetween", "法国的海岸线": "CoastOf", "法国海岸外10公里": "OffTheCoastOf", "法国的边界": "BorderOf", "法国和德国之间": "Between",
-    "上海外滩附近3公里": "Buffer", "天安门广场西北方向": "Intersection", "深圳大学东方向": "DirectionalConstraint", "法国和德国": "Union", "深圳大学": "NamedPlace", "广东省除深圳外": "Difference",
-}
+#: Phrases about A and B, and the tree's type, side, distance, the places of its children, and those of grandchildren.
+_PHRASES = [
+    ("A除了B", "Difference", None, None, "A,B"), ("A不包括B", "Difference", None, None, "A,B"), ("A除B外", "Difference", None, None, "A,B"), ("A和B的边界", "BorderBetween", None, None, "A,B"),
+    ("A和B的交界处", "BorderBetween", None, None, "A,B"), ("A的海岸线", "CoastOf", None, None, "A"), ("A海岸外7.5公里", "OffTheCoastOf", None, 7.5, "A"), ("A的边界", "BorderOf", None, None, "A"),
+    ("A和B之间", "Between", None, None, "A,B"), ("A附近4公里", "Buffer", None, 4.0, "A"), ("A附近", "Buffer", None, 3.0, "A"), ("A市周边", "Buffer", None, 50.0, "A市"), ("A省周边", "Buffer", None, 200.0, "A省"),
+    ("A东方向", "DirectionalConstraint", "east", None, "A"), ("A北边", "DirectionalConstraint", "north", None, "A"), ("A西南方向", "Intersection", "south,west", None, "A,A"), ("A和B", "Union", None, None, "A,B"), ("A", "NamedPlace", None, None, ""),
+]
+_PHRASE_SQL = ", ".join("(" + ", ".join([str(i), *["NULL" if v is None else f"{v}::DOUBLE" if isinstance(v, float) else f"'{v}'" for v in row]]) + ")" for i, row in enumerate(_PHRASES))
+
 
+_FILLED = "replace(replace(replace({}, 'A', '@'), 'B', n_name), '@', lower(r_name))"
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _TEXTS.items()) + ") t(text, node_type)")
+
+@query(f"SELECT n_name || '/' || {_FILLED.format('t')} AS text, node_type, sides, distance_km, {_FILLED.format('places')} AS places FROM nation JOIN region ON n_regionkey = r_regionkey JOIN (VALUES {_PHRASE_SQL}) p(i, t, node_type, sides, distance_km, places) ON true")
 def phrase_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in _TEXTS], "text string")
-    return rows.select("text", F.get_json_object(phrase_tree(F.col("text")), "$.node_type").alias("node_type"))
+    """Phrases of each kind about each nation and its region: types, arguments and the order of children."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    each = n.join(r, n.n_regionkey == r.r_regionkey).select("n_name", F.lower("r_name").alias("r"), F.explode(F.array(*[F.lit(p[0]) for p in _PHRASES])).alias("t"))
+    text = F.replace(F.replace(F.replace("t", F.lit("A"), F.lit("@")), F.lit("B"), F.col("n_name")), F.lit("@"), F.col("r"))
+    nodes = flatten(each.select(F.concat_ws("/", "n_name", text).alias("query_id"), phrase_tree(text).alias("tree")))
+    root, inner = nodes.filter("depth = 0"), nodes.filter("depth > 0")
+    listed_ = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", c))), lambda x: x[c]), ",")
+    sides = nodes.filter("direction is not null").groupBy("query_id").agg(listed_("direction").alias("sides"))
+    places = inner.filter("node_type = 'NamedPlace'").groupBy("query_id").agg(listed_("name").alias("places"))
+    return root.join(sides, "query_id", "left").join(places, "query_id", "left").select(F.col("query_id").alias("text"), "node_type", "sides", "distance_km", F.coalesce("places", F.lit("")).alias("places"))
 
 
-@query("SELECT query_id, status, kind FROM (VALUES ('a', NULL, 'Polygon'), ('b', NULL, 'Polygon'), ('c', 'E1', NULL), ('d', 'E1', NULL)) t(query_id, status, kind)")
+@query("SELECT n_nationkey AS query_id, CASE WHEN n_nationkey % 5 > 2 THEN 'E1' END AS status, CASE WHEN n_nationkey % 5 <= 2 THEN 'Polygon' END AS kind FROM nation")
 def recorded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = json.dumps({"node_type": "Buffer", "distance_km": 3, "child_node": {"name": "外滩", "center_lon": 121.49, "center_lat": 31.24, "radius_km": 0.5}})
-    answers = spark.createDataFrame([("A", f"```json\n{tree}\n```"), ("B", f"```\n{tree}```"), ("C", "sorry")], "text string, response string")
-    asked = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C"), ("d", "D")], "query_id string, text string")
+    """Answers about nations in three kinds of fences, in words, and none."""
+    K.register(spark)
+    rows = nations(spark, sf_dir)
+    tree = node("Buffer", distance_km=3, child_node=F.col("here"))
+    k = F.col("k")
+    answer = F.when(k % 5 == 0, F.concat(F.lit("```json\n"), tree, F.lit("\n```"))).when(k % 5 == 1, F.concat(F.lit("```\n"), tree, F.lit("```"))).when(k % 5 == 2, tree).when(k % 5 == 3, "sorry")
+    answers = rows.filter(k % 5 < 4).select(F.concat(F.lit("near "), k.cast("string")).alias("text"), answer.alias("response"))
+    asked = rows.select(k.alias("query_id"), F.concat(F.lit("near "), k.cast("string")).alias("text"))
     return Engine(responses=answers).evaluate(asked).select("query_id", "status", "kind")
 
 
+@query(f"SELECT n_name || '/' || i AS query_id, root, nodes, places FROM nation, (VALUES " + ", ".join(f"({i}, '{e.root}', {e.nodes}, '{e.places}')" for i, e in enumerate(EXAMPLES)) + ") e(i, root, nodes, places)")
+def worked_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve recorded answers, asked for each nation: root type, number of nodes, and places."""
+    answers = F.array(*[F.struct(F.lit(e.text).alias("text"), F.lit(f"```json\n{json.dumps(e.tree, ensure_ascii=False)}\n```").alias("response"), F.lit(i).alias("i")) for i, e in enumerate(EXAMPLES)])
+    responses = spark.range(1).select(F.inline(answers))
+    asked = table(spark, sf_dir, "nation").select("n_name", F.inline(answers)).select(F.concat_ws("/", "n_name", "i").alias("query_id"), "text")
+    nodes = Engine(responses=responses).parse(asked)
+    names = F.array_join(F.transform(F.array_sort(F.filter(F.collect_list(F.struct("node_id", "name")), lambda x: x["name"].isNotNull())), lambda x: x["name"]), ",")
+    return nodes.groupBy("query_id").agg(F.max(F.when(F.col("depth") == 0, F.col("node_type"))).alias("root"), F.count(F.lit(1)).alias("nodes"), names.alias("places"))
+
+
+@query(
+    f"""WITH p AS (SELECT n_nationkey AS k, 100.0::DOUBLE + 2 * (n_nationkey % 5) AS x, 20.0::DOUBLE + 2 * (n_nationkey // 5) AS y FROM nation),
+q AS (SELECT k, k % 2 = 0 AS one, {deg('2.0', 'CASE WHEN k % 2 = 0 THEN y + 0.5 ELSE y + 1 END')} AS d FROM p),
+s AS (SELECT s_suppkey AS k, {deg('2.0', '20.5 + ((s_suppkey * 53) % 1000) / 100.0::DOUBLE')} AS d FROM supplier WHERE ({{OSM}}) AND s_suppkey % 3 < 2)
+SELECT 'nation ' || k AS query_id, NULL::VARCHAR AS status, round(CASE WHEN one THEN 1 + 4 * d + {ROUND} * d * d ELSE 2 + 8 * d + 2 * {ROUND} * d * d - (2 * d * d + {ROUND} * d * d / 2) END, 6) AS area FROM q
+UNION ALL SELECT 'supplier ' || k, NULL, round(1 + 4 * d + {ROUND} * d * d, 6) FROM s
+UNION ALL SELECT 'supplier ' || s_suppkey, 'E2', NULL FROM supplier WHERE NOT (({{OSM}}) AND s_suppkey % 3 < 2)""".replace("{OSM}", _OSM_SQL)
+)
+def text_to_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts about nations and suppliers, through phrases, districts and map features, to areas; what no source has is E2."""
+    K.register(spark)
+    n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    text = lambda name: F.concat(name, F.lit("附近2公里")).alias("text")
+    asked = n.select(F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("query_id"), text("n_name")).unionByName(s.select(F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("query_id"), text("s_name")))
+    # Even nations have one district that isn't their own name, odd ones two of which the district of their name wins.
+    d = _districts(spark, sf_dir).join(n.select(F.col("n_name").alias("keyword"), "n_nationkey"), "keyword", "left").filter("n_nationkey is null or n_nationkey % 2 = 1 or position = 0").drop("n_nationkey")
+    done = Engine(districts=d, osm_elements=_osm(spark, sf_dir)).evaluate(asked)
+    return done.select("query_id", "status", F.round(K.measures("geom")["area"], 6).alias("area"))
+
+
+@query("SELECT s_suppkey, true AS closed, true AS simple, true AS corners, true AS distances FROM supplier")
+def pseudo_boundary_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether both drawn boundaries of each supplier are closed, enclose their centre's surroundings once, and have the corners and distances that they may have."""
+    K.register(spark)
+    k, km = F.col("s_suppkey"), F.lit(0.5)
+    lon, lat = 100 + k * 37 % 1000 / 100.0, 20 + k * 53 % 1000 / 100.0
+    rows = table(spark, sf_dir, "supplier").select(k, lon.alias("lon"), lat.alias("lat"), place_boundary(lon, lat, km).alias("a"), lookup_boundary(lon, lat, km).alias("b"))
+    ring = lambda c: F.from_json(F.get_json_object(c, "$.coordinates[0]"), "array<array<double>>")
+    rows = rows.withColumns({"ra": ring("a"), "rb": ring("b"), "d": C.km_to_degrees(km, F.col("lat"))})
+    far = lambda r, least, most: F.forall(r, lambda p: F.hypot(p[0] - F.col("lon"), p[1] - F.col("lat")).between(F.col("d") * (least - 1e-6), F.col("d") * (most + 1e-6)))
+    closed = lambda r: F.element_at(r, 1) == F.element_at(r, -1)
+    simple_ = lambda c: K.measures(K.call("Buffer", K.from_geojson(c), F.lit(0.0)))["area"] / K.measures(K.from_geojson(c))["area"]
+    return rows.select(
+        "s_suppkey", (closed(F.col("ra")) & closed(F.col("rb"))).alias("closed"), (F.abs(simple_("a") - 1) + F.abs(simple_("b") - 1) < 1e-9).alias("simple"),
+        (F.size("ra").between(8, 13) & (F.size("rb") == 11)).alias("corners"), (far(F.col("ra"), 0.7, 1.3) & far(F.col("rb"), 0.75, 1.25)).alias("distances"),
+    )
+
+
 @query()
 def pseudo_boundary_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from placeweave.functions import kernel as K
 
 
-def read_coastline(spark: SparkSession, path: str) -> DataFrame:
-    """(geom) of each feature that has a geometry."""
+def read_coastline(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(geom) of each feature that has a geometry: of a feature collection, or with ``lines`` of a file with one feature a line, which many tasks read."""
     K.register(spark)
-    text = spark.read.text(path, wholetext=True)
-    features = text.select(F.explode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("f"))
+    text = spark.read.text(path, wholetext=not lines)
+    features = text.select(F.col("value").alias("f")) if lines else text.select(F.explode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("f"))
     return features.select(K.from_geojson(F.get_json_object("f", "$.geometry")).alias("geom")).filter("geom is not null")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeweave.functions.columns import km_to_degrees, side_box
+from placeweave.storage import shared_dir
 
 
 def beside(events: DataFrame, direction: str = "north", km: float = 3.0) -> DataFrame:
@@ -22,7 +20,6 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """:func:`beside` of the events read as a stream of all that is there now, and written to a table."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = beside(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
-    path = f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    path = shared_dir(spark)
     rows.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/state").start(f"{path}/rows", format="parquet", outputMode="append").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{path}/rows")
