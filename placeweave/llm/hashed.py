@@ -119,21 +119,21 @@ class Filter:
 
 
 @dataclass
-class Sent:
-    """The part of a table of values that tasks hold: the most used keys, sorted, with their values, and a filter of all keys."""
+class Index:
+    """Places in a sorted array of 64-bit hashes: few share their first bits, and each key is sought among those only."""
 
     keys: np.ndarray
-    values: np.ndarray
-    filter: Filter
     _first: np.ndarray | None = None
 
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "_first": None}
+
     def places(self, keys: np.ndarray) -> np.ndarray:
-        """Where each key is, or -1. Keys are hashes, so few share their first bits, and each is sought among those only."""
+        """Where each key is, or -1."""
         shift = np.uint64(65 - max(2, len(self.keys).bit_length()))
         if self._first is None:
             slots = np.arange(1 << (64 - int(shift)), dtype=np.uint64) << shift
-            own = np.sort(self.keys.view(np.uint64))
-            self._first = np.append(np.searchsorted(own, slots), len(own)).astype(np.int32)
+            self._first = np.append(np.searchsorted(self.keys.view(np.uint64), slots), len(self.keys)).astype(np.int32)
         out = np.full(len(keys), -1, np.int32)
         slot = (keys.view(np.uint64) >> shift).astype(np.int64)
         here, stop = self._first[slot], self._first[slot + 1]
@@ -147,11 +147,20 @@ class Sent:
             left = left[here[left] < stop[left]]
         return out
 
+
+@dataclass
+class Sent:
+    """The part of a table of values that tasks hold: the most used keys with their values, and a filter of all keys."""
+
+    index: Index
+    values: np.ndarray
+    filter: Filter
+
     def add(self, keys: np.ndarray, at: np.ndarray, into: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Add the values of keys to the places ``at`` of ``into``; the places and keys that aren't held here but may have values."""
         there = self.filter.may_have(keys)
         keys, at = keys[there], at[there]
-        place = self.places(keys)
+        place = self.index.places(keys)
         there = place >= 0
         into[at[there]] += self.values[place[there]]
         return at[~there], keys[~there]
@@ -173,4 +182,4 @@ class Values:
         key, value = (hot[x].to_numpy() for x in ("key", "value"))
         order = np.argsort(key.view(np.uint64))
         rest = table.filter(F.col("n") < enough).select("key", "value")
-        return Values(Sent(key[order], value[order], Filter.of(table)), rest, rest.isEmpty())
+        return Values(Sent(Index(key[order]), value[order], Filter.of(table)), rest, rest.isEmpty())

@@ -21,27 +21,52 @@ CAPACITY = 2048
 END = b"\0\0\0\0"
 
 
+class Sums:
+    """An index of the available lengths: which single lengths, pairs and triples have each sum.
 
+    ``pairs[s]`` marks the larger length of each pair of sum ``s``, and
+    ``triples[s]`` the largest of each triple: one that leaves a sum that a
+    pair has. A pair or triple needs a length as often as it has it.
+    """
 
-def _complement(gap: int, left: np.ndarray, lengths: np.ndarray) -> tuple[int, ...] | None:
-    """One, two or three available lengths that add up to ``gap``, the fewest and largest first."""
-    if left[gap] > 0:
-        return (gap,)
-    big = lengths[(lengths < gap) & (2 * lengths >= gap)]
-    small = gap - big
-    fits = (left[small] > 0) & ((small != big) | (left[small] > 1))
-    if fits.any():
-        i = np.flatnonzero(fits)[-1]
-        return int(big[i]), int(small[i])
-    for a in lengths[(lengths < gap) & (3 * lengths >= gap)][::-1]:  # the largest of three
-        rest = gap - int(a)
-        b = lengths[(lengths <= a) & (lengths < rest) & (2 * lengths >= rest)]
-        c = rest - b
-        fits = (left[c] > 0) & ((b != c) | (left[c] > 1)) & ((b != a) | (left[b] > 1 + (c == b))) & ((c != a) | (left[a] > 1))
-        if fits.any():
-            i = np.flatnonzero(fits)[-1]
-            return int(a), int(b[i]), int(c[i])
-    return None
+    def __init__(self, counts: np.ndarray) -> None:
+        self.left, self.size = counts, len(counts)
+        s, n = np.ogrid[: self.size, : self.size]
+        self.halves = (n >= s - n) & (n < s)
+        self.pairs = np.zeros((self.size, self.size), bool)
+        for n in range(1, self.size):
+            self._set_pairs(n)
+
+    def _set_pairs(self, n: int) -> None:
+        """Mark anew the pairs that have the length ``n``."""
+        other = np.arange(1, self.size - n)
+        there = (self.left[other] > (other == n)) & (self.left[n] > 0)
+        self.pairs[n + other, np.maximum(n, other)] = there & self.halves[n + other, np.maximum(n, other)]
+
+    def take(self, lengths: tuple[int, ...], many: int) -> None:
+        """Use up ``many`` times these lengths; pairs change only where a length has none or one left."""
+        for n in lengths:
+            self.left[n] -= many
+        for n in set(lengths):
+            if self.left[n] < 2:
+                self._set_pairs(n)
+
+    def exact(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths that add up to ``gap``, the fewest and largest first."""
+        if self.left[gap] > 0:
+            return (gap,)
+        found = np.flatnonzero(self.pairs[gap])
+        if len(found):
+            return int(found[-1]), int(gap - found[-1])
+        for a in np.flatnonzero(self.left[:gap])[::-1].tolist():
+            rest = gap - a
+            if 3 * a < gap:
+                return None
+            for b in np.flatnonzero(self.pairs[rest][: a + 1])[::-1].tolist():
+                c = rest - b
+                if all(self.left[n] >= k for n, k in Counter((a, b, c)).items()):
+                    return a, b, c
+        return None
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -60,25 +85,21 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
             raise ValueError(f"a piece of {n} tokens doesn't fit {capacity}")
         left[n] = k
     out: list[tuple[tuple[int, ...], int]] = []
-
-    def take(lengths: tuple[int, ...]) -> int:
-        most = min(int(left[n]) // k for n, k in Counter(lengths).items())
-        for n in lengths:
-            left[n] -= most
-        return most
-
     if left[capacity]:
         out.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
+    index = Sums(left)
     for n in range(capacity - 1, 0, -1):
         while left[n]:
-            left[n] -= 1  # one is in hand while its complement is sought
-            found = _complement(capacity - n, left, np.flatnonzero(left))
-            left[n] += 1
+            index.take((n,), 1)  # one is in hand while its complement is sought
+            found = index.exact(capacity - n)
+            index.take((n,), -1)
             if not found:
                 break
             whole = (n, *found)
-            out.append((whole, take(whole)))
+            many = min(int(left[m]) // k for m, k in Counter(whole).items())
+            out.append((whole, many))
+            index.take(whole, many)
     room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     for n in range(capacity, 0, -1):
         while left[n]:
@@ -155,7 +176,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str | None, str
     where = docs.sparkSession.sparkContext.broadcast(intervals(plan(counts, capacity)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(offsets, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
+    ranked = pieces.join(offsets.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length, first, sequence, offset = (c.to_numpy() for c in where.value.columns)
@@ -169,4 +190,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str | None, str
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of :func:`pack` for all documents."""
     return pack(table(spark, sf_dir, "documents"))

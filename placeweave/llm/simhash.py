@@ -9,8 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import join_hot, saved, table, text_batches
+from .common import free_name, join_hot, saved, table, text_batches
 
 BITS = 64
 #: Fingerprints of one signature that are compared with each other at once; larger groups are cut into blocks, and each pair of blocks is compared.
@@ -45,8 +46,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
 
 def fingerprints(docs: DataFrame, size: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp) of each row; a null text has the fingerprint 0, as one without words."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(lambda b: _fingerprints(b, size), "doc_id long, fp long")
+    kind = docs.schema[doc_id].dataType
+    key = F.col(doc_id) if isinstance(kind, StructType) else F.col(doc_id).cast("long")
+    rows = docs.select(key.alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(lambda b: _fingerprints(b, size), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _forest(fps: np.ndarray, other: np.ndarray | None, limit: int) -> list[tuple[int, int]]:
@@ -124,18 +127,14 @@ def links(fps: DataFrame, limit: int = 3) -> DataFrame:
     return small.mapInArrow(find, "a long, b long").unionByName(large.mapInArrow(find, "a long, b long")).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str, weight: str) -> DataFrame:
-    """(node, component): the least ``weight`` among the nodes that ``edges`` (a, b) reach.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that links (a, b) touch: the least node that each reaches.
 
-    Only nodes that have links take part in the rounds: each takes the least
-    label of its neighbours, then the label's own label, until none changes.
-    Nodes of one ``weight`` count as one.
+    Each takes the least label of its neighbours, then the label's own label,
+    until none changes. Repeated and reversed links count once; without links
+    there are no rows.
     """
-    both = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    ends = nodes.select(F.col(node).alias("a"), F.col(weight).alias("id")).join(both.select("a").distinct(), "a")
-    linked = saved(ends)
-    # By ids: edges (u, v), labels (u, label).
-    pairs = saved(both.join(linked, "a").select(F.col("id").alias("u"), F.col("b").alias("a")).join(linked, "a").select("u", F.col("id").alias("v")))
+    pairs = saved(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
     labels = saved(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")))
     while True:
         of_v = labels.select(F.col("u").alias("v"), F.col("label").alias("near"))
@@ -146,26 +145,31 @@ def components(nodes: DataFrame, edges: DataFrame, node: str, weight: str) -> Da
         changed = after.filter("new <> label").limit(1).count()
         labels = after.select("u", F.col("new").alias("label"))
         if not changed:
-            break
-    found = linked.join(labels, linked["id"] == labels["u"]).select(F.col("a").alias(node), F.col("label").alias("component"))
-    return nodes.select(node, weight).join(found, node, "left").select(node, F.coalesce("component", weight).alias("component"))
+            return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
 
 
 def near_groups(docs: DataFrame, size: int = 3, limit: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component) of each row: the smallest doc_id that links of at most ``limit`` bits reach.
 
     Null and empty texts share the fingerprint 0, linked like any other. Rows
-    of one fingerprint are one node, so copies cost nothing. A null doc_id
-    takes part, and gets the smallest id of its component; if a fingerprint
-    has null ids only, its rows link no others and their component is null. An empty
-    table gives no rows. Other columns are not read.
+    of one fingerprint are one node, so copies cost nothing, and rows that
+    repeat an id are linked by their texts alone. A row with a null doc_id
+    links like any other and gets the smallest id of its component; where all
+    ids of a component are null, so is it. An empty table gives no rows.
+    Other columns are not read.
     """
     rows = saved(fingerprints(docs, size, doc_id, text))
     nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
-    known = nodes.filter("id is not null")
-    found = components(known, saved(links(known.select("fp"), limit)), "fp", "id")
-    grouped = saved(nodes.join(found, "fp", "left").select("fp", "component", "n"))
-    return join_hot(rows, grouped, "fp", "n").select("doc_id", "fp", "component")
+    grouped = saved(_grouped(nodes, limit))
+    least = saved(grouped.groupBy("group").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("members")))
+    named = saved(join_hot(grouped, least, "group", "members").select("fp", "n", "component"))
+    return join_hot(rows, named, "fp", "n").select("doc_id", "fp", "component")
+
+
+def _grouped(nodes: DataFrame, limit: int) -> DataFrame:
+    """``nodes`` (fp, ...), one for each fingerprint, with the component of each as ``group``."""
+    found = components(saved(links(nodes.select("fp"), limit)))
+    return nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp")).drop("component")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,15 +178,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = 3, limit: int = 3) -> DataFrame:
-    """Of each component the document with the smallest id, with all its columns.
+    """Of each component the document with the smallest id, with all its columns, whatever their names.
 
     Of rows that repeat that id one stays; where all ids of a group are null,
-    so does one.
+    so does one. An empty table gives no rows.
     """
-    numbered = saved(docs.withColumn("_row", F.monotonically_increasing_id()))
-    rows = saved(fingerprints(numbered, size, "_row"))  # the row number stands for the id
-    ids = rows.join(numbered.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("_id")), "doc_id")
-    nodes = saved(ids.groupBy("fp").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "doc_id")).alias("first")).select("fp", F.col("first._id").alias("_id"), F.col("first.doc_id").alias("_first")))
-    found = components(nodes.select("fp", F.col("_first").alias("id")), saved(links(nodes.select("fp"), limit)), "fp", "id")
-    best = nodes.join(found, "fp").groupBy("component").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_first")).alias("best"))
-    return numbered.join(best.select(F.col("best._first").alias("_row")), "_row", "left_semi").drop("_row")
+    row = free_name(docs, "_row")
+    numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()))
+    rows = fingerprints(numbered.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col(row).alias("row")).alias("doc_id"), "text"), size)
+    nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    best = _grouped(nodes, limit).groupBy("group").agg(F.min("first").alias("best"))
+    return numbered.join(best.select(F.col("best.row").alias(row)), row, "left_semi").drop(row)

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from .common import saved, table, text_batches
 from .tokens import Encoder
 
-#: The separator of the 50k vocabulary; no ordinary text has it.
+#: The separator of the 50k vocabulary; no text has it, since strings of special tokens are encoded as ordinary text here.
 END_ID = 50256
 BLOCK_TOKENS = 1 << 16
 #: Blocks whose sums are scanned together; their totals are scanned above them.
@@ -23,7 +23,7 @@ GROUP = 4096
 
 def _flat(batches: Iterator[pa.RecordBatch], block: int, end: int, paths: tuple[str | None, str | None]) -> Iterator[pa.RecordBatch]:
     """Blocks of the partition's token file, of ``block`` tokens each but the last, and the documents in their order."""
-    encoder, file, rest, n, nth = Encoder.get(*paths), TaskContext.get().partitionId(), [], 0, 0
+    encoder, file, rest, n, nth = Encoder.get(*paths, escaped=True), TaskContext.get().partitionId(), [], 0, 0
     stop = np.array([end], "<u2").tobytes()
 
     def out(data: list[bytes], ids: list[int | None], first: int) -> pa.RecordBatch:
@@ -52,28 +52,53 @@ def flat_files(docs: DataFrame, block: int = BLOCK_TOKENS, end: int = END_ID, pa
     """Token files of the documents, one a partition: their blocks (file, block, data) without regard to documents, and the order (file, doc_index, doc_id).
 
     Tokens are little-endian unsigned 16-bit ids, each document followed by
-    ``end``. A null text counts as empty.
+    ``end``. A null text counts as empty; rows that repeat an id, or have
+    none, are documents of their own. An empty table gives no blocks.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = saved(rows.mapInArrow(lambda b: _flat(b, block, end, paths), "file int, n long, data binary, doc_id long").withColumn("order", F.col("data").isNull()))
     return out.filter("not order").select("file", F.col("n").alias("block"), "data"), out.filter("order").select("file", F.col("n").alias("doc_index"), "doc_id")
 
 
-def read_flat(spark: SparkSession, path: str, width: int = 2, most: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, data) of a flat token file in any store that Spark reads.
+#: Files of at most so many bytes are read as one row each before they are cut; larger ones record by record.
+WHOLE_FILE = 64 << 20
 
-    Blocks have equal lengths: the largest divisor of the file's tokens up to
-    ``most``. A file that isn't a whole number of tokens is refused.
+
+def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            view = data.as_buffer()
+            blocks = [view[at : at + size].to_pybytes() for at in range(0, view.size, size)]
+            yield pa.RecordBatch.from_arrays([pa.array([file] * len(blocks), pa.int32()), pa.array(range(len(blocks)), pa.int64()), pa.array(blocks, pa.binary())], ["file", "block", "data"])
+
+
+def read_flat(spark: SparkSession, path: str, width: int = 2, most: int = BLOCK_TOKENS) -> tuple[DataFrame, dict[int, str]]:
+    """(file, block, data) of a flat token file, or of all in a folder, in any store that Spark reads; and the files' names by their numbers.
+
+    Files of up to WHOLE_FILE bytes are cut into blocks of ``most`` tokens and
+    a rest. A larger one is read by many tasks in records of equal lengths,
+    the largest divisor of its tokens up to ``most``: a prime number of tokens
+    gives records of one, which is slow. Empty files have no number. A file
+    that isn't a whole number of tokens is refused.
     """
-    size = spark.read.format("binaryFile").load(path).select("length").first()[0]
-    if size % width:
-        raise ValueError(f"{path} has {size} bytes, not a whole number of {width}-byte tokens")
-    tokens = size // width
-    each = next((d for d in range(min(most, tokens), 0, -1) if tokens % d == 0), 1)
-    if not tokens:
-        return spark.createDataFrame([], "file int, block long, data binary")
-    rows = spark.sparkContext.binaryRecords(path, each * width).zipWithIndex().map(lambda r: (0, r[1], bytearray(r[0])))
-    return rows.toDF("file int, block long, data binary")
+    listed = spark.read.format("binaryFile").load(path).select("path", "length").orderBy("path").collect()  # what the driver lists anyway
+    for r in listed:
+        if r.length % width:
+            raise ValueError(f"{r.path} has {r.length} bytes, not a whole number of {width}-byte tokens")
+    names = {i: r.path for i, r in enumerate(listed)}
+    small = [(i, r.path) for i, r in enumerate(listed) if 0 < r.length <= WHOLE_FILE]
+    blocks = spark.createDataFrame([], "file int, block long, data binary")
+    if small:
+        numbers = spark.createDataFrame(small, "file int, path string")
+        whole = spark.read.format("binaryFile").load([p for _, p in small]).join(F.broadcast(numbers), "path").select("file", "content")
+        blocks = whole.mapInArrow(lambda b: _cut(b, most * width), "file int, block long, data binary")
+    for i, r in enumerate(listed):
+        if r.length > WHOLE_FILE:
+            tokens = r.length // width
+            each = next(d for d in range(min(most, tokens), 0, -1) if tokens % d == 0)
+            records = spark.sparkContext.binaryRecords(r.path, each * width).zipWithIndex().map(lambda x, i=i: (i, x[1], bytearray(x[0])))
+            blocks = blocks.unionByName(records.toDF("file int, block long, data binary"))
+    return blocks, names
 
 
 def _search(batches: Iterator[pa.RecordBatch], end: int, width: int) -> Iterator[pa.RecordBatch]:
@@ -120,6 +145,6 @@ def document_spans(blocks: DataFrame, end: int = END_ID, width: int = 2) -> Data
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' token counts, read back from flat token files of the whole table."""
+    """(doc_id, file, doc_index, start, n_tokens, complete) of each document, read back from flat token files of the whole table."""
     blocks, order = flat_files(table(spark, sf_dir, "documents"))
     return document_spans(blocks).join(order, ["file", "doc_index"]).select("doc_id", "file", "doc_index", "start", "n_tokens", "complete")

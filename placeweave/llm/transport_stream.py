@@ -128,10 +128,12 @@ def _finish(found: Stream, pid: int, parts: list[bytes], random: bool, whole: bo
 
 def _tables(found: Stream, pid: int, section: bytes) -> None:
     size = 3 + (int.from_bytes(section[1:3], "big") & 0xFFF)
-    section = section[:size]
-    if len(section) < size or size < 12 or crc32_mpeg(section) != 0:
+    if len(section) < size or size < 12 or crc32_mpeg(section[:size]) != 0:
         found.bad_tables += 1
         return
+    section = section[:size]
+    if not section[5] & 1:  # holds from a later time on
+        return
     if pid == PAT_PID and section[0] == 0:
         for at in range(8, size - 4, 4):
             number, to = int.from_bytes(section[at : at + 2], "big"), int.from_bytes(section[at + 2 : at + 4], "big") & 0x1FFF
@@ -144,25 +146,54 @@ def _tables(found: Stream, pid: int, section: bytes) -> None:
             at += 5 + (int.from_bytes(section[at + 3 : at + 5], "big") & 0xFFF)
 
 
+def _in_sync(data: bytes, at: int, further: int) -> bool:
+    """Whether a packet can begin at ``at``: it is there whole, and packets' first bytes, or the end, follow at ``further`` packets' distance.
+
+    A first byte is the sync byte, and the byte three after it says that there is a payload or an adaptation field.
+    """
+    end = len(data)
+    if at + PACKET > end:
+        return False
+    return all(data[p] == SYNC and (p + 3 >= end or data[p + 3] & 0x30) for p in range(at, min(end, at + further * PACKET + 1), PACKET))
+
+
+def _resync(data: bytes, at: int) -> int:
+    """The next place from which packets follow each other; the end if there is none. A sync byte in a payload alone is none."""
+    while (at := data.find(SYNC, at)) >= 0:
+        if _in_sync(data, at, 2):
+            return at
+        at += 1
+    return len(data)
+
+
+def _sections(found: Stream, pid: int, section: bytes) -> bytes:
+    """Use the whole sections at the start; what is left of the buffer."""
+    while len(section) >= 3 and section[0] != 0xFF and len(section) >= (size := 3 + (int.from_bytes(section[1:3], "big") & 0xFFF)):
+        _tables(found, pid, section[:size])
+        section = section[size:]
+    return b"" if section[:1] == b"\xff" else section
+
+
 def demux(data: bytes) -> Stream:
     """Parse a transport stream.
 
-    Lost sync bytes are searched for again. Packets with the error flag set
-    are passed over. Continuity counters are checked per stream: a repeated
-    packet is dropped, a gap counts as an error and leaves the elementary
-    packet incomplete, a flagged discontinuity is none. Scrambled packets
-    count but give no data. Tables with a wrong checksum are counted and not
+    A packet counts where a sync byte, or the end, follows it; else sync is
+    lost, and searched for again where three packets follow each other.
+    Packets with the error flag set are passed over. Continuity counters are
+    checked per stream: a repeated packet is dropped, a gap counts as an
+    error and leaves the elementary packet incomplete, a flagged
+    discontinuity is none. Scrambled packets count but give no data. Sections
+    may span packets and end where a packet begins another. Tables with a
+    wrong checksum are counted and not used, those not yet in force are not
     used; streams that no table names give no elementary packets.
     """
     found, last, open_ = Stream(), {}, {}
     sections: dict[int, bytes] = {}
     at, end = 0, len(data)
     while at + PACKET <= end:
-        if data[at] != SYNC:
+        if not _in_sync(data, at, 1):
             found.lost_sync += 1
-            at = data.find(SYNC, at + 1)
-            if at < 0:
-                break
+            at = _resync(data, at + 1)
             continue
         b1, b3 = data[at + 1], data[at + 3]
         pid, begins = (b1 & 0x1F) << 8 | data[at + 2], b1 & 0x40
@@ -185,19 +216,19 @@ def demux(data: bytes) -> Stream:
             if before == (cc, body):
                 continue
             found.cc_errors += 1
+            sections.pop(pid, None)
             if pid in open_:
                 open_[pid][2] = False
         if b3 & 0xC0:
             continue
         if pid == PAT_PID or pid in found.programs:
             if begins and body:
-                sections[pid] = body[1 + body[0] :]
+                new = 1 + body[0]
+                if pid in sections:
+                    _sections(found, pid, sections[pid] + body[1:new])
+                sections[pid] = _sections(found, pid, body[new:])
             elif pid in sections:
-                sections[pid] += body
-            section = sections.get(pid, b"")
-            while len(section) >= 3 and section[0] != 0xFF and len(section) >= (size := 3 + (int.from_bytes(section[1:3], "big") & 0xFFF)):
-                _tables(found, pid, section[:size])
-                section = sections[pid] = section[size:]
+                sections[pid] = _sections(found, pid, sections[pid] + body)
         elif pid in found.types:
             if begins:
                 if pid in open_:
@@ -242,9 +273,7 @@ def elementary_packets(media: DataFrame, key: str, column: str = "media") -> Dat
                 cols = [pa.array([getattr(u, k) for u in units], t) for k, t in (("pid", pa.int32()), ("stream_type", pa.int32()), ("pts", pa.int64()), ("dts", pa.int64()), ("random_access", pa.bool_()), ("complete", pa.bool_()), ("data", pa.binary()))]
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([batch.column(0).slice(i, 1)] * n) if n else batch.column(0).slice(0, 0), pa.array(range(n), pa.int32()), *cols], [key, "nth", "pid", "stream_type", "pts", "dts", "random_access", "complete", "data"])
 
-    schema = type(media.schema)().add(key, kind)
-    for name, t in (("nth", "int"), ("pid", "int"), ("stream_type", "int"), ("pts", "long"), ("dts", "long"), ("random_access", "boolean"), ("complete", "boolean"), ("data", "binary")):
-        schema = schema.add(name, t)
+    schema = f"`{key}` {kind.simpleString()}, nth int, pid int, stream_type int, pts long, dts long, random_access boolean, complete boolean, data binary"
     return media.select(key, column).mapInArrow(run, schema)
 
 
@@ -261,22 +290,44 @@ def features(found: Stream, payload: bytes) -> str:
     )
 
 
+PACKETS = "array<struct<pid:int,stream_type:int,pts:long,dts:long,random_access:boolean,complete:boolean,start:long,length:int>>"
+
+
 def described(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of stored streams."""
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, packets) of stored streams.
+
+    ``packets`` has each elementary packet's timestamps, whether it is a
+    random-access point, and its place in the payload. A null stream counts
+    as empty; streams without tables have no payload.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             rows = []
             for data in batch.column(2).to_pylist():
+                data = data or b""
                 found = demux(data)
                 payload = b"".join(u.data for u in found.units)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), features(found, payload)))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                starts = np.cumsum([0, *[len(u.data) for u in found.units]]).tolist()
+                packets = [{"pid": u.pid, "stream_type": u.stream_type, "pts": u.pts, "dts": u.dts, "random_access": u.random_access, "complete": u.complete, "start": a, "length": len(u.data)} for a, u in zip(starts, found.units, strict=False)]
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), features(found, payload), packets))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+            packet = pa.struct([("pid", pa.int32()), ("stream_type", pa.int32()), ("pts", pa.int64()), ("dts", pa.int64()), ("random_access", pa.bool_()), ("complete", pa.bool_()), ("start", pa.int64()), ("length", pa.int32())])
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(packet))
+            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "packets"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names)
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, packets {PACKETS}")
+
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def access_points(described_: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, nth, pts, start of each random-access point of described streams: where a reader can begin, and when that is."""
+    each = described_.select(*keep, F.posexplode("packets").alias("nth", "p"))
+    return each.filter("p.random_access").select(*keep, "nth", "p.pts", "p.start")
 
 
 def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return described(saved(with_streams(table(spark, sf_dir, "documents"))))
+    """The columns of :func:`described` of each document's stream, with the timestamps of its random-access points as ``access``."""
+    found = described(saved(with_streams(table(spark, sf_dir, "documents"))))
+    access = F.transform(F.filter("packets", lambda p: p["random_access"]), lambda p: F.struct(p["pts"].alias("pts"), p["start"].alias("start")))
+    return found.withColumn("access", access).drop("packets")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,32 +62,27 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keys: tuple
     by an equi-join on a short hash prefix, full digests are compared, and the
     rule of the highest rank gives the verdict, ``default`` where none fits.
     A null url, or one without ``://``, has an empty host and path. Each row
-    gives one row, repeated ones too. An empty table gives no rows; without
-    rules all get the default. Extra columns are not read.
+    gives one row, repeated ones and those with null keys too. An empty table
+    gives no rows; without rules all get the default. Extra columns are not read.
     """
     found = hashed(rules)
-    shapes = [(r.labels, r.path_length) for r in found.select("labels", "path_length").distinct().collect()]  # bounded by the longest rule
-    found = found.withColumn("fit", F.struct("rank", "digest"))
+    shapes = [[r.labels, r.path_length] for r in found.select("labels", "path_length").distinct().collect()]  # pairs of small numbers, however many rules
+    found = found.select("prefix", "digest", F.struct("rank", "rule", "verdict").alias("_fit"))
     if found.count() <= BROADCAST_RULES:
         found = F.broadcast(found)
     host, path = url_parts(F.col(url))
-    rows = pages.select(F.monotonically_increasing_id().alias("_row"), *keys, host.alias("_host"), path.alias("_path"))
-    labels = F.size(F.split("_host", r"\."))
-    expressions = [
-        F.when((labels >= n) & (F.length("_path") >= m), F.concat(F.substring_index("_host", ".", -n), F.substring("_path", 1, m)))
-        for n, m in sorted(shapes)
-    ] or [F.lit(None).cast("string")]
-    # A row without any expression keeps one null, which fits no rule.
-    some = F.array_compact(F.array(*expressions))
-    each = rows.withColumn("_expr", F.explode_outer(some)).withColumn("_digest", F.sha2("_expr", 256))
-    pairs = each.join(found.select("prefix", "digest", "rank"), (F.substring("_digest", 1, PREFIX_DIGITS) == F.col("prefix")) & (F.col("_digest") == F.col("digest")), "left")
+    rows = pages.select(F.monotonically_increasing_id().alias("_row"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], host.alias("_host"), path.alias("_path"))
+    rows = rows.withColumn("_labels", F.size(F.split("_host", r"\.")))
+    known = F.from_json(F.lit(json.dumps([{"n": n, "m": m} for n, m in sorted(shapes)])), "array<struct<n:int,m:int>>")
+    there = F.filter(known, lambda s: (F.col("_labels") >= s["n"]) & (F.length("_path") >= s["m"]))
+    rows = rows.withColumn("_shape", F.explode_outer(there))  # a row without any keeps one null, which fits no rule
+    each = rows.withColumn("_digest", F.sha2(F.expr("concat(substring_index(_host, '.', -_shape.n), substring(_path, 1, _shape.m))"), 256))
+    pairs = each.join(found, (F.substring("_digest", 1, PREFIX_DIGITS) == F.col("prefix")) & (F.col("_digest") == F.col("digest")), "left")
     # The expressions of a row are in one partition, so all but one row each end in the partial aggregate.
-    best = pairs.groupBy("_row", *keys, "_host", "_path").agg(F.max("rank").alias("_rank"))
-    # Two rules of one rank fit no url both: equal lengths of host and path of one url are the same strings.
-    named = found.select(F.col("rank").alias("_rank"), "rule", "verdict", "labels", "path_length")
-    fits = F.expr("rule = concat(substring_index(_host, '.', -labels), substring(_path, 1, path_length))")
-    out = best.join(named, (best["_rank"] == named["_rank"]) & fits, "left")
-    return out.select(*keys, F.col("_host").alias("host"), F.col("_path").alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    own = ["_row", *[f"_k{i}" for i in range(len(keys))], "_host", "_path"]
+    best = pairs.groupBy(*own).agg(F.max("_fit").alias("_fit"))
+    named = [F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)]
+    return best.select(*named, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_fit.rule").alias("rule"), F.coalesce("_fit.verdict", F.lit(default)).alias("verdict"))
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -95,6 +92,7 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of each page by RULES."""
     return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark))
 
 

@@ -11,10 +11,11 @@ import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from placeweave.llm import exact_dedup, mixing, packing, simhash, suffix_dedup, token_counts, toxicity, transport_stream, url_filter
+from placeweave.llm import exact_dedup, packing, simhash, suffix_dedup, token_counts, transport_stream, url_filter
 from placeweave.llm.common import saved
-from placeweave.llm.tokens import Encoder
+from placeweave.llm.tokens import Encoder, default_path
 
 
 def texts():
@@ -81,28 +82,74 @@ def test_transport_stream(docs, empty):
     found = transport_stream.demux(b"junk" + broken)
     assert (found.lost_sync, found.cc_errors) == (1, 1) and not found.units[0].complete and found.units[1].complete
     assert transport_stream.demux(data[:752] + data[564:752] + data[752:]).cc_errors == 0
+    assert transport_stream.demux(b"G" * 187).packets == transport_stream.demux(b"").packets == 0
+
+
+def test_sync_bytes_in_payloads_are_no_sync():
+    data = transport_stream.mux(b"G" * 9000)
+    for at, lost in ((188 * 20 + 50, 3), (188 * 8 + 4, 1), (188 * 30, 188)):
+        found = transport_stream.demux(data[:at] + data[at + lost :])
+        complete = [u for u in found.units if u.complete]
+        assert found.cc_errors == 1 and found.packets == len(data) // 188 - 1 and len(complete) == 2, (at, lost)
+        assert all(set(u.data) == {71} for u in complete)
+
+
+def test_sections_over_packets():
+    """A program map that begins behind the tail of another, and one that isn't in force yet."""
+    body = bytes([0xE1, 0x00, 0xF0, 200]) + bytes(200) + bytes([6, 0xE1, 0x00, 0xF0, 0])
+    long, soon = transport_stream._section(2, 1, body), bytearray(transport_stream._section(2, 1, bytes([0xE1, 0x00, 0xF0, 0, 9, 0xE1, 0x00, 0xF0, 0]))[:-4])
+    soon[5] &= 0xFE
+    soon = bytes(soon) + transport_stream.crc32_mpeg(bytes(soon)).to_bytes(4, "big")
+    head = lambda begins, cc: bytes([0x47, begins | 0x10, 0x00, 0x10 | cc])
+    tail = long[183:]
+    packets = head(0x40, 0) + b"\0" + long[:183] + (head(0x40, 1) + bytes([len(tail)]) + tail + soon).ljust(188, b"\xff")
+    stream = transport_stream.mux(b"x" * 500)
+    found = transport_stream.demux(stream[:188] + packets + stream[376:])
+    assert found.types == {0x100: 6} and found.bad_tables == 0 and found.units[0].data == b"x" * 500
+
+
+def test_elementary_packets_and_access_points(docs, empty):
+    media = transport_stream.with_streams(docs.unionByName(docs.filter("doc_id = 5")))
+    rows = transport_stream.elementary_packets(media.select("doc_id", "media"), "doc_id").collect()
+    for i, t in enumerate(texts()):
+        want, mine = transport_stream.padded(t), sorted((r for r in rows if r.doc_id == i), key=lambda r: r.nth)
+        mine = mine[::2] if i == 5 else mine
+        cut = [want[a : a + transport_stream.UNIT] for a in range(0, len(want), transport_stream.UNIT)]
+        assert [bytes(r.data) for r in mine] == cut and all(r.complete and r.dts is None and r.stream_type == 6 for r in mine)
+        assert [(r.pts, r.random_access) for r in mine] == [(3600 * k, k % 8 == 0) for k in range(len(cut))]
+    points = transport_stream.access_points(transport_stream.described(media.filter("doc_id <> 5")), "doc_id").collect()
+    assert {(r.doc_id, r.pts, r.start) for r in points} == {(r.doc_id, r.pts, r.nth * transport_stream.UNIT) for r in rows if r.random_access and r.doc_id != 5}
+    assert transport_stream.elementary_packets(transport_stream.with_streams(empty), "doc_id").count() == 0
 
 
 def test_token_counts_and_flat_file(spark, docs, tmp_path):
     blocks, order = token_counts.flat_files(docs, block=64)
     got = token_counts.document_spans(blocks).join(order, ["file", "doc_index"]).collect()
-    encoder = Encoder.get()
+    encoder = Encoder.get(escaped=True)
     assert {r.doc_id: r.n_tokens for r in got} == {i: len(encoder.encode(t)) // 4 for i, t in enumerate(texts())}
-    flat = np.array([5, 6, 50256, 50256, 7, 50256, 8], "<u2")
-    (tmp_path / "flat.bin").write_bytes(flat.tobytes())
-    spans = token_counts.document_spans(token_counts.read_flat(spark, str(tmp_path / "flat.bin"), most=3)).orderBy("doc_index").collect()
-    assert [(r.start, r.n_tokens, r.complete) for r in spans] == [(0, 2, True), (3, 0, True), (4, 1, True), (6, 1, False)]
-
-
-def test_toxicity(spark):
-    draw = random.Random(3)
-    rows = [(i, " ".join(draw.choice(["sun", "sea", "hill", "road"] + ["vile"] * (i % 3 == 0)) for _ in range(30)), int(i % 3 == 0)) for i in range(300)]
-    docs = saved(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
-    model = toxicity.fit(saved(toxicity.training_rows(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))))
-    got = toxicity.score(docs, model).collect()
-    assert np.mean([(r.toxicity >= 0.5) == bool(r.toxic) for r in got if toxicity.is_held_out(r.doc_id)]) > 0.95
-    assert 0 <= model.score(None) == model.score("") <= 1
-    assert toxicity.fit(toxicity.training_rows(docs.limit(0).select("doc_id", "text"), docs.limit(0).select("doc_id", "toxic"))).score("x") == pytest.approx(0.5)
+    assert token_counts.document_spans(token_counts.flat_files(docs.limit(0))[0]).count() == 0
+
+
+def test_flat_files_of_any_length(spark, tmp_path, monkeypatch):
+    files = [[5, 6, 50256, 50256, 7, 50256, 8], [], list(range(11)), [50256], [1] * 12 + [50256] + [2] * 6]
+    for i, f in enumerate(files):
+        (tmp_path / f"flat{i}.bin").write_bytes(np.array(f, "<u2").tobytes())
+    want = set()
+    for i, f in enumerate(filter(None, files)):  # an empty one has no number
+        start = 0
+        for k, part in enumerate(re.findall(r"(?:\d+ )*?50256 |(?:\d+ )+", " ".join(map(str, [*f, ""])))):
+            n, complete = len(part.split()), part.endswith("50256 ")
+            want.add((i, k, start, n - complete, complete))
+            start += n
+    for whole in (token_counts.WHOLE_FILE, 0, 20):
+        monkeypatch.setattr(token_counts, "WHOLE_FILE", whole)
+        blocks, names = token_counts.read_flat(spark, str(tmp_path), most=3)
+        assert [n.rpartition("/")[2] for _, n in sorted(names.items())] == [f"flat{i}.bin" for i in (0, 2, 3, 4)]
+        got = {(r.file, r.doc_index, r.start, r.n_tokens, r.complete) for r in token_counts.document_spans(blocks).collect()}
+        assert got == want
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(ValueError, match="whole number"):
+        token_counts.read_flat(spark, str(tmp_path))
 
 
 def test_url_filter(spark):
@@ -114,6 +161,26 @@ def test_url_filter(spark):
     assert got[7][:2] == ("", "") and got[9][:2] == ("h", "") and got[0][0] == "a.example.org"
 
 
+def test_url_filter_with_many_rules(spark, monkeypatch):
+    draw = random.Random(12)
+    rules = {(".".join(draw.choices(["a", "b", "com", "org"], k=draw.randint(1, 3))), "/" + "".join(draw.choices("xy/", k=draw.randint(0, 5)))): draw.choice(["allow", "block"]) for _ in range(300)}
+    urls = [f"http://{'.'.join(draw.choices(['a', 'b', 'com', 'org'], k=draw.randint(1, 4)))}/{''.join(draw.choices('xy/', k=draw.randint(0, 7)))}" for _ in range(400)] + [None, "", "http://"]
+    table = spark.createDataFrame([(h, p, v) for (h, p), v in rules.items()] + [(None, "/", "block"), ("a", None, "block"), ("a", "x", "block")], "host string, path string, verdict string")
+    pages = saved(spark.createDataFrame([(i // 2, u, 1, 2) for i, u in enumerate(urls)], "page_id long, url string, rule int, _row int"))
+    want = []
+    for i, u in enumerate(urls):
+        host, path = (re.fullmatch(r"http://([^/]*)(.*)", u or "") or re.fullmatch("()()", "")).groups()
+        fit = [(len(h + p), len(h), h + p, v) for (h, p), v in rules.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fit, default=(0, 0, None, "allow"))
+        want.append((i // 2, host, path, best[2], best[3]))
+    for most in (url_filter.BROADCAST_RULES, 10):
+        monkeypatch.setattr(url_filter, "BROADCAST_RULES", most)
+        got = [tuple(r) for r in url_filter.judge_urls(pages, table).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert {r.verdict for r in url_filter.judge_urls(pages, table.limit(0)).collect()} == {"allow"}
+    assert url_filter.judge_urls(pages.limit(0), table).count() == 0
+
+
 def test_simhash(docs, empty):
     def fp(t):
         w = (t or "").encode().lower().split()
@@ -166,15 +233,64 @@ def test_packing(docs, empty):
         assert [x[0] for x in got] == list(range(len(got))) and sum(x[2] for x in got) == len(ids) // 4
         assert all(n == 2048 for _, _, n, _ in got[1:]) and all(c == zlib.crc32(ids[4 * s : 4 * (s + n)]) for _, s, n, c in got)
     assert packing.pack(empty).count() == 0
-    plan = packing.plan({3: 7, 5: 4, 8: 2, 10: 1}, 10)
-    assert sum((Counter({n: k * m for n, m in Counter(ls).items()}) for ls, k in plan), Counter()) == Counter({3: 7, 5: 4, 8: 2, 10: 1})
 
 
-def test_encoder_matches_whole_texts():
-    encoder = Encoder.get()
-    for t in [*texts(), "a  b", "a   b", "a\n \nb", "a \nb", "\u00a0 \u00a0x", " it's 's", "<|endoftext|> x", "a "]:
-        whole = np.array(encoder.whole.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
-        assert encoder.encode(t) == whole
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying all."""
+    best = len(lengths)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for r in set(rooms):
+            if r >= lengths[i]:
+                place(i + 1, [*rooms[: rooms.index(r)], r - lengths[i], *rooms[rooms.index(r) + 1 :]])
+        place(i + 1, [*rooms, capacity - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_plans_use_all_and_are_near_the_optimum():
+    draw, over = random.Random(4), 0
+    for case in range(60):
+        capacity = draw.choice([7, 10, 16])
+        lengths = sorted((draw.randint(1, capacity) for _ in range(9)), reverse=True)
+        plan = packing.plan(dict(Counter(lengths)), capacity)
+        assert sum((Counter({n: k * m for n, m in Counter(ls).items()}) for ls, k in plan), Counter()) == Counter(lengths)
+        assert all(sum(ls) <= capacity for ls, _ in plan)
+        over += sum(k for _, k in plan) - fewest(lengths, capacity)
+    assert over <= 3
+    lengths = [min(2048, max(1, int(draw.lognormvariate(5.5, 1)))) for _ in range(20_000)]
+    assert sum(k for _, k in packing.plan(dict(Counter(lengths)))) <= -(-sum(lengths) // 2048) + 1
+
+
+def test_index_of_sums_equals_all_combinations():
+    draw = random.Random(9)
+    for _ in range(40):
+        left = np.array([0, *[draw.choice([0, 0, 1, 2, 5]) for _ in range(14)]])
+        index = packing.Sums(left)
+        for _ in range(3):
+            for gap in range(1, 15):
+                have = lambda c: all(left[n] >= k for n, k in Counter(c).items())  # noqa: E731, B023
+                fits = [c for c in [(gap,), *[(a, gap - a) for a in range(gap - 1, 0, -1) if a >= gap - a], *[(a, b, gap - a - b) for a in range(gap - 2, 0, -1) for b in range(a, 0, -1) if gap - a - b > 0 and b >= gap - a - b]] if have(c)]
+                assert index.exact(gap) == (fits[0] if fits else None)
+            some = [n for n in range(1, 15) if left[n]]
+            if some:
+                index.take((draw.choice(some),), 1)
+
+
+def test_encoder_matches_an_untouched_tokenizer():
+    plain, escaped = Tokenizer.from_file(default_path("byte_bpe_50k.json")), Tokenizer.from_file(default_path("byte_bpe_50k.json"))
+    escaped.encode_special_tokens = True
+    for t in [*texts(), "a  b", "a   b", "a\n \nb", "a \nb", "\u00a0 \u00a0x", " it's 's", "<|endoftext|> x", "a <|endoftext|><|endoftext|>", "a "]:
+        for tokenizer, encoder in ((plain, Encoder.get()), (escaped, Encoder.get(escaped=True))):
+            assert encoder.encode(t) == np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+    assert 50256 in np.frombuffer(Encoder.get().encode("a<|endoftext|>"), "<u4") and 50256 not in np.frombuffer(Encoder.get(escaped=True).encode("a<|endoftext|>"), "<u4")
 
 
 def test_exact_dedup(docs, empty):
@@ -188,45 +304,3 @@ def test_exact_dedup(docs, empty):
     assert later == {i: first[norm[i]] == i for i in range(20, len(norm))}
     assert exact_dedup.dedup(empty).count() == 0
     assert exact_dedup.keep_first(docs.unionByName(docs)).count() == len(first)
-
-
-def test_mixing(spark):
-    p = [[0.9, 0.1, 0.0], [0.2, 0.7, 0.1], [0.1, 0.1, 0.8]]
-    soft = saved(spark.createDataFrame([(i, 10 + i % 7, p[i % 3]) for i in range(90)], "doc_id long, tokens long, p array<double>"))
-    rated, fit = mixing.fit_rates(soft, {"high": 0.4, "low": 0.35, "toxic": 0.25})
-    assert fit.residual <= 1e-4 and rated.filter("rate < 0").count() == 0
-    assert mixing.fit_rates(soft.limit(0), {"high": 1.0})[0].count() == 0
-
-
-def test_mixing_rare_domain(spark):
-    p = [[0.97, 0.03, 0.0], [0.3, 0.7, 0.0]]
-    rows = [(i, 50 + i % 9, p[i % 2]) for i in range(2000)] + [(2000 + i, 54, [0.05, 0.05, 0.9]) for i in range(2)]
-    rated, fit = mixing.fit_rates(saved(spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")), mixing.WEIGHTS)
-    got = rated.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.col("p")[i]) / F.sum("tokens") for i in range(3)]).first()
-    assert list(got) == pytest.approx([mixing.WEIGHTS[d] for d in mixing.DOMAINS], abs=1e-4) and fit.residual <= 1e-4
-    assert rated.filter("rate < 0").count() == 0
-
-
-def test_mixing_tells_unreachable_targets(spark):
-    rows = saved(spark.createDataFrame([(i, 10, [0.5, 0.5, 0.0]) for i in range(20)], "doc_id long, tokens long, p array<double>"))
-    rated, fit = mixing.fit_rates(rows, {"high": 1.0})
-    assert fit.residual == pytest.approx(0.5, abs=1e-3)  # the nearest to (1, 0) on the line of (1, 1) is (0.5, 0.5)
-    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string")
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert mixing.mix(docs, labels, {"high": 1.0}).filter("residual > 0.1").count() == 6
-
-
-def test_mixing_repeats_only_what_is_kept(spark):
-    rows = [(i, 10 + i % 7, [[0.9, 0.1, 0.0], [0.1, 0.9, 0.0], [0.0, 0.02, 0.98]][(i % 50 >= 48) + (i % 50 == 49)]) for i in range(500)]
-    soft = saved(spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>"))
-    for want in ({"high": 0.8, "low": 0.2, "toxic": 0.0}, {"high": 0.88, "low": 0.12, "toxic": 0.0}):
-        rated, fit = mixing.fit_rates(soft, want, 1.0, free_total=True)
-        high, low = rated.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.col("p")[i]) for i in (0, 1)]).first()
-        assert high / (high + low) == pytest.approx(want["high"], abs=1e-3) and rated.filter("rate < 1").count() == 0
-        assert rated.filter("p[2] > 0.5").agg(F.max("rate")).first()[0] < 1.2
-
-
-def test_mixing_labels_of_other_documents_take_no_place(spark):
-    docs = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(500)], "doc_id long, quality int, toxic int")
-    assert mixing.labelled(docs, labels, 5).count() == 5
