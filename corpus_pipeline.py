@@ -8,6 +8,10 @@ from placeweave.llm import exact_dedup, mixing, packing, simhash, toxicity
 from placeweave.llm.common import saved, table
 
 
+#: Words of a shingle, and bits in which near duplicates' fingerprints differ at most.
+NEAR_WORDS, NEAR_BITS = 5, 5
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is under one half."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
@@ -19,8 +23,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id."""
-    return simhash.keep_one(docs)
+    """Of each near-duplicate group the document with the smallest id.
+
+    Fingerprints of five-word shingles link at NEAR_BITS or fewer differing
+    bits, which stands for a similarity of well over 0.8.
+    """
+    return simhash.keep_one(docs, NEAR_WORDS, NEAR_BITS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the table documents; each stage's result is written to the shared folder before the next.
+
+    Null texts count as empty, rows that repeat an id are rows of their own
+    until a stage drops them, other columns are carried along. An empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir))
