@@ -76,7 +76,8 @@ class DigestIndex:
     def compact(self) -> None:
         """One sorted file a bucket, in a new generation; the old one is deleted when that is whole."""
         old, last = self.name, self.generation
-        rows = self.spark.table(old)
+        # Read as plain files: of a bucketed table the repartition would be left out.
+        rows = self.spark.read.schema(self.table().schema).parquet(f"{self.path}/{last}")
         self._open(last + 1)
         rows.repartition(self.buckets, "digest").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
