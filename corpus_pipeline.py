@@ -9,7 +9,7 @@ from placeweave.llm.common import saved, table
 
 
 #: Words of a shingle, and bits in which near duplicates' fingerprints differ at most.
-NEAR_WORDS, NEAR_BITS = 5, 5
+NEAR_WORDS, NEAR_BITS = 3, 3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document with the smallest id.
 
-    Fingerprints of five-word shingles link at NEAR_BITS or fewer differing
-    bits, which stands for a similarity of well over 0.8.
+    Fingerprints of shingles of NEAR_WORDS words link at NEAR_BITS or fewer
+    differing bits, as op6_simhash has them.
     """
     return simhash.keep_one(docs, NEAR_WORDS, NEAR_BITS)
 
