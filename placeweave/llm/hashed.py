@@ -17,10 +17,11 @@ _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _END = np.uint64(0x5851F42D4C957F2D)
 
 
-def byte_values(separators: bytes = b"\t\n\v\f\r ") -> np.ndarray:
-    """A random number for each byte: capital letters as small ones, and 0 for what separates words."""
+def byte_values(separators: bytes = b"\t\n\v\f\r ", folded: bool = True) -> np.ndarray:
+    """A random number for each byte: capital letters as small ones if ``folded``, and 0 for what separates words."""
     out = np.random.default_rng(9).integers(1, 1 << 63, 256, dtype=np.uint64)
-    out[65:91] = out[97:123]
+    if folded:
+        out[65:91] = out[97:123]
     out[list(separators)] = 0
     return out
 
@@ -87,6 +88,22 @@ def word_hashes(texts: list[bytes], values: np.ndarray = WHITE_SPACE) -> tuple[n
     return (seq >> np.uint64(2) | np.uint64(1 << 61)).view(np.int64), np.bincount(text_of, minlength=len(texts)) + 1
 
 
+def plain_hashes(texts: list[bytes], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after the other, and the number of words of each."""
+    start, found = _hashes(np.frombuffer(b"\n".join([*texts, b""]), np.uint8), values)
+    text_of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
+    return found, np.bincount(text_of, minlength=len(texts))
+
+
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash for each place at which ``size`` words in a row begin, from the words' hashes."""
+    if len(words) < size:
+        return np.zeros(0, np.int64)
+    up, down = _up_and_down(len(words) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.view(np.uint64) * up[: len(words)], dtype=np.uint64)])
+    return mixed((sums[size:] - sums[:-size]) * down[: len(words) - size + 1])
+
+
 def first_hashes(words: list[bytes]) -> np.ndarray:
     h, n = word_hashes(words)
     return h[np.cumsum(n) - n]

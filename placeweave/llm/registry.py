@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, simhash, suffix_dedup, suffix_tree, token_counts, toxicity, transport_stream, url_filter
+from . import exact_dedup, mixing, packing, phrase_automata, ranked_search, simhash, suffix_dedup, suffix_tree, token_counts, toxicity, transport_stream, url_filter, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_lm": suffix_tree.op9_lm,
         "op10_mixing": mixing.op10_mixing,
+        "op11_ranked_search": ranked_search.op11_ranked_search,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_phrase_automata": phrase_automata.op13_phrase_automata,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter.OP5_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {"op5_url_filter": url_filter.OP5_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op11_ranked_search": ranked_search.OP11_SQL, "op12_vector_codes": vector_codes.OP12_SQL}
