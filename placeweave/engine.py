@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from placeweave.functions import columns as C
 from placeweave.functions import kernel as K
+from placeweave.operators.memo import LookupMemo
 from placeweave.operators.resolve import enrich, places_of, resolve
 from placeweave.plans.evaluate import evaluate_nodes
 from placeweave.plans.flatten import flatten
@@ -46,6 +47,8 @@ class Engine:
     responses: DataFrame | None = None
     #: Asked for each text's tree in place of recorded answers and phrases.
     parser: Callable[[str], str] | None = None
+    #: What the gazetteer answered in earlier calls.
+    memo: LookupMemo | None = None
 
     @classmethod
     def of_tables(cls, spark: SparkSession, folder: str) -> Engine:
@@ -70,19 +73,16 @@ class Engine:
         trees = recorded(queries, self.responses) if self.responses is not None else queries.select("query_id", phrase_tree(F.col("text")).alias("tree"))
         return flatten(trees)
 
-    def evaluate_nodes(self, nodes: DataFrame) -> DataFrame:
-        """(query_id, geom, kind, status); leaves are resolved by the tables that there are."""
-        nodes = saved(nodes)
-        spark, found = nodes.sparkSession, None
-        given = {"gazetteer": self.gazetteer, "districts": self.districts, "osm_elements": self.osm_elements}
-        if any(t is not None for t in given.values()):
-            K.register(spark)
-            tables = [t if t is not None else spark.createDataFrame([], TABLES[name]) for name, t in given.items()]
-            found = saved(enrich(nodes, saved(resolve(places_of(nodes), *tables))))
-        return evaluate_nodes(nodes, self.coastline, found)
-
-    def evaluate(self, queries: DataFrame) -> DataFrame:
-        return self.evaluate_nodes(self.parse(queries))
+    def evaluate_nodes(self, nodes: DataFrame, mode: str = "permissive") -> DataFrame:
+        """(query_id, geom, kind, status); leaves are resolved by the tables that there are. ``mode`` is that of :func:`plans.evaluate.evaluate_nodes`."""
+        found, given = None, (self.gazetteer, self.districts, self.osm_elements)
+        if any(t is not None for t in given):
+            nodes = saved(nodes)
+            found = saved(enrich(nodes, saved(resolve(places_of(nodes), *given, self.memo))))
+        return evaluate_nodes(nodes, self.coastline, found, mode)
+
+    def evaluate(self, queries: DataFrame, mode: str = "permissive") -> DataFrame:
+        return self.evaluate_nodes(self.parse(queries), mode)
 
 
 def features(geoms: DataFrame) -> DataFrame:

@@ -11,13 +11,15 @@ from pathlib import Path
 import pyspark
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, StringType, StructType
 
 SOURCE = Path(__file__).parent / "java" / "PlaceKernel.java"
+NODE = StructType().add("node_id", StringType()).add("parent_id", StringType()).add("role", StringType()).add("ordinal", IntegerType()).add("depth", IntegerType()).add("post", IntegerType()).add("kids", IntegerType()).add("js", StringType())
 FUNCTIONS = {
     "FromGeoJson": BinaryType(), "ToGeoJson": StringType(), "Buffer": BinaryType(), "Intersection": BinaryType(), "Difference": BinaryType(),
     "Intersects": BooleanType(), "Between": BinaryType(), "Union": BinaryType(), "Boundary": BinaryType(), "Measures": ArrayType(DoubleType()),
-    "Kind": StringType(), "Empty": BooleanType(), "Areal": BinaryType(),
+    "Kind": StringType(), "Empty": BooleanType(), "Areal": BinaryType(), "Pieces": ArrayType(BinaryType()), "Merged": BinaryType(),
+    "Nodes": ArrayType(NODE), "DrawnPlace": BinaryType(), "DrawnLookup": BinaryType(),
 }
 
 

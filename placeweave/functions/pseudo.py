@@ -2,58 +2,16 @@
 
 from __future__ import annotations
 
-import math
-import random
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql.functions import pandas_udf
-
-
-def _degrees(km: float, lat: float) -> float:
-    return max(km / 111.32, km / (111.32 * math.cos(math.radians(abs(lat))) + 1e-10))
-
-
-def ring_by_place(lon: float, lat: float, radius: float) -> list[tuple[float, float]]:
-    """7 to 12 corners; for each first the angle is drawn, then the distance."""
-    draw, size = random.Random(int(lon * 1e4 + lat * 1e4)), _degrees(radius, lat)
-    corners = draw.randint(7, 12)
-    out = []
-    for i in range(corners):
-        turn = 2 * math.pi * i / corners + draw.uniform(-0.25, 0.25)
-        far = size * (0.7 + draw.random() * 0.6)
-        out.append((lon + far * math.cos(turn), lat + far * math.sin(turn)))
-    return [*out, out[0]]
-
-
-def ring_by_lookup(lon: float, lat: float, radius: float) -> list[tuple[float, float]]:
-    """10 corners; for each first the distance is drawn, then the angle."""
-    draw, out = random.Random(int(lon * 1e4 + lat * 1e4)), []
-    for i in range(10):
-        far = _degrees(radius * (0.75 + draw.random() * 0.5), lat)
-        turn = 2 * math.pi * i / 10 + draw.uniform(-0.3, 0.3)
-        out.append((lon + far * math.cos(turn), lat + far * math.sin(turn)))
-    return [*out, out[0]]
-
-
-def _json(ring: list[tuple[float, float]]) -> str:
-    return '{"type":"Polygon","coordinates":[[' + ",".join(f"[{x!r},{y!r}]" for x, y in ring) + "]]}"
-
-
-def _column(ring_of):  # noqa: ANN001, ANN202
-    @pandas_udf("string")
-    def boundary(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for lon, lat, radius in rows:
-            yield pd.Series([_json(ring_of(x, y, r)) if x == x and y == y and r == r else None for x, y, r in zip(lon, lat, radius, strict=True)])
 
-    return boundary
+from placeweave.functions import kernel as K
 
 
 def place_boundary(lon: Column, lat: Column, radius: Column) -> Column:
-    """GeoJSON; null where any argument is."""
-    return _column(ring_by_place)(lon, lat, radius)
+    """GeoJSON of 7 to 12 corners; null where any argument is."""
+    return K.to_geojson(K.call("DrawnPlace", lon, lat, radius))
 
 
 def lookup_boundary(lon: Column, lat: Column, radius: Column) -> Column:
-    return _column(ring_by_lookup)(lon, lat, radius)
+    """GeoJSON of 10 corners; null where any argument is."""
+    return K.to_geojson(K.call("DrawnLookup", lon, lat, radius))

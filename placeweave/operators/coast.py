@@ -1,4 +1,4 @@
-"""Spatial joins by grid cells, and coastlines in areas."""
+"""Coastlines in areas."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.functions import kernel as K
+from placeweave.operators.spatial import spatial_pairs
 
-#: Side of a grid cell in degrees.
-CELL = 1.0
+#: Segments of a piece of a line.
+SEGMENTS = 64
 #: Parts in which many geometries of one key are dissolved before these are.
 SALTS = 64
 
@@ -19,28 +20,13 @@ def dissolved(rows: DataFrame, keys: list[str], geom: str) -> DataFrame:
     return parts.groupBy(*keys).agg(F.collect_list(geom).alias("many")).select(*keys, K.call("Union", "many").alias(geom))
 
 
-def with_cells(rows: DataFrame, geom: str = "geom", cell: float = CELL) -> DataFrame:
-    """Each row once for each grid cell that its bounding box touches, with the box in ``m``."""
-    rows = rows.withColumn("m", K.measures(geom)).filter("m.minx is not null")
-    span = lambda a, b: F.sequence(F.floor(F.col(f"m.{a}") / cell), F.floor(F.col(f"m.{b}") / cell))
-    return rows.withColumn("cell_x", F.explode(span("minx", "maxx"))).withColumn("cell_y", F.explode(span("miny", "maxy")))
-
-
-def spatial_pairs(left: DataFrame, right: DataFrame, cell: float = CELL) -> DataFrame:
-    """Pairs of rows whose geometries intersect, each once: (left columns, right columns), where ``geom`` is l_geom and r_geom.
-
-    Rows meet by equality of grid cells, so neither side is broadcast by
-    demand. A pair counts in the cell that has the lower left corner of what
-    the two boxes share; then boxes and geometries are compared.
-    """
-    a = with_cells(left.withColumnRenamed("geom", "l_geom"), "l_geom", cell).withColumnRenamed("m", "lm")
-    b = with_cells(right.withColumnRenamed("geom", "r_geom"), "r_geom", cell).withColumnRenamed("m", "rm")
-    own = (F.col("cell_x") == F.floor(F.greatest("lm.minx", "rm.minx") / cell)) & (F.col("cell_y") == F.floor(F.greatest("lm.miny", "rm.miny") / cell))
-    boxes = (F.col("lm.minx") <= F.col("rm.maxx")) & (F.col("rm.minx") <= F.col("lm.maxx")) & (F.col("lm.miny") <= F.col("rm.maxy")) & (F.col("rm.miny") <= F.col("lm.maxy"))
-    return a.join(b, ["cell_x", "cell_y"]).filter(own & boxes).filter(K.call("Intersects", "l_geom", "r_geom")).drop("cell_x", "cell_y", "lm", "rm")
+def cut_lines(lines: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """(geom): ``lines`` in pieces of at most ``segments`` segments, so that a long coast meets an area with what is near it alone."""
+    K.register(lines.sparkSession)
+    return lines.select(F.explode(K.call("Pieces", "geom", F.lit(segments))).alias("geom"))
 
 
 def coast_lines(areas: DataFrame, coastline: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, coast): what of ``coastline`` (geom) lies in each area (keys, geom); areas without any have no row."""
+    """(keys, coast): what of ``coastline`` (geom) lies in each area (keys, geom), in lines as long as can be; areas without any have no row."""
     pieces = spatial_pairs(areas, coastline.select("geom")).select(*keys, K.call("Intersection", "r_geom", "l_geom").alias("piece"))
-    return dissolved(pieces, keys, "piece").withColumnRenamed("piece", "coast")
+    return dissolved(pieces, keys, "piece").select(*keys, K.call("Merged", "piece").alias("coast"))

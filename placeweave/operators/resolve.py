@@ -9,6 +9,8 @@ once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +19,7 @@ from placeweave.functions import columns as C
 from placeweave.functions import kernel as K
 from placeweave.functions.pseudo import lookup_boundary
 from placeweave.operators.coast import dissolved
+from placeweave.operators.memo import LookupMemo
 from placeweave.storage import saved
 
 PLACE = ("name", "in_region", "in_country")
@@ -61,10 +64,20 @@ def geocode_candidates(places: DataFrame) -> DataFrame:
     return places.select("place", *PLACE, F.inline(_ordered(entries)))
 
 
-def geocoded(candidates: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Candidates with what the gazetteer's first entry for (address, city) says; no row where there is none or its location is malformed."""
-    asked = candidates.select(F.col("address").alias("address_key")).distinct()  # only what is asked for is aggregated
-    first = gazetteer.join(asked, "address_key", "left_semi").groupBy("address_key", F.coalesce("city", F.lit("")).alias("g_city")).agg(F.min_by(F.struct("location", "level", "formatted_address"), "position").alias("g"))
+def first_entries(asked: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """(address_key, city, found): the gazetteer's first entry for each (address_key, city) asked for; no city is the empty string."""
+    entries = gazetteer.withColumn("city", F.coalesce("city", F.lit(""))).join(asked, ["address_key", "city"], "left_semi")  # only what is asked for is aggregated
+    return entries.groupBy("address_key", "city").agg(F.min_by(F.struct("location", "level", "formatted_address"), "position").alias("found"))
+
+
+def geocoded(candidates: DataFrame, gazetteer: DataFrame, memo: LookupMemo | None = None) -> DataFrame:
+    """Candidates with what the gazetteer's first entry for (address, city) says; no row where there is none or its location is malformed.
+
+    With ``memo`` the gazetteer is asked only for what that doesn't know yet.
+    """
+    asked = candidates.select(F.col("address").alias("address_key"), F.coalesce("city", F.lit("")).alias("city")).distinct()
+    look_up = lambda new: first_entries(new, gazetteer)
+    first = (memo.answers(asked, look_up) if memo else look_up(asked)).select("address_key", F.col("city").alias("g_city"), F.col("found").alias("g"))
     got = candidates.join(first, (F.col("address") == F.col("address_key")) & (F.coalesce("city", F.lit("")) == F.col("g_city")))
     at = F.split("g.location", ",")
     level = F.coalesce("g.level", F.lit("兴趣点"))
@@ -88,17 +101,17 @@ def has_lower(address: Column, part: Column) -> Column:
     return F.coalesce(F.lower(address).contains(F.lower(part)), F.lit(False))
 
 
-def best_candidate(places: DataFrame, gazetteer: DataFrame) -> DataFrame:
+def best_candidate(places: DataFrame, gazetteer: DataFrame, memo: LookupMemo | None = None) -> DataFrame:
     """(place, lon, lat, level, found_address, radius_km): the valid candidate of the most exact level, the earliest of equals."""
-    found = geocoded(geocode_candidates(places), gazetteer).filter(valid(F.col("found_address"), F.col("in_region"), F.col("in_country")))
+    found = geocoded(geocode_candidates(places), gazetteer, memo).filter(valid(F.col("found_address"), F.col("in_region"), F.col("in_country")))
     order = F.struct(F.coalesce(C.lookup(C.LEVEL_SCORE, F.col("level")), F.lit(C.DEFAULT_SCORE)), "ordinal")
     best = found.groupBy("place").agg(F.min_by(F.struct("lon", "lat", "level", "found_address", "radius_km"), order).alias("b"))
     return best.select("place", "b.*")
 
 
-def precise_bounds(places: DataFrame, gazetteer: DataFrame) -> DataFrame:
+def precise_bounds(places: DataFrame, gazetteer: DataFrame, memo: LookupMemo | None = None) -> DataFrame:
     """(place, center_lon, center_lat, radius_km, level, address) of each place's best candidate."""
-    best = best_candidate(places, gazetteer)
+    best = best_candidate(places, gazetteer, memo)
     return best.select("place", F.col("lon").alias("center_lon"), F.col("lat").alias("center_lat"), "radius_km", "level", F.col("found_address").alias("address"))
 
 
@@ -161,28 +174,37 @@ def osm_boundary(elements: DataFrame, names: DataFrame | None = None) -> DataFra
     return dissolved(parts, ["name"], "g").select("name", K.to_geojson("g").alias("boundary"))
 
 
-def resolve(places: DataFrame, gazetteer: DataFrame, districts: DataFrame, osm_elements: DataFrame) -> DataFrame:
+def resolve(places: DataFrame, gazetteer: DataFrame | None, districts: DataFrame | None, osm_elements: DataFrame | None, memo: LookupMemo | None = None) -> DataFrame:
     """(place, boundary, lon, lat, radius_km, level, source): the first of district, map features and a point with a drawn boundary.
 
-    Each source is asked once, for the places that those before it left. A
-    place whose district boundary is malformed goes to a point without a
-    boundary at once ("point after error"): it is drawn around its centre
-    when its tree is evaluated.
+    Each source that there is is asked once, for the places that those before
+    it left. A place whose district boundary is malformed goes to a point
+    without a boundary at once ("point after error"): it is drawn around its
+    centre when its tree is evaluated.
     """
-    K.register(places.sparkSession)
+    spark = places.sparkSession
+    K.register(spark)
     none = lambda kind: F.lit(None).cast(kind)
-    places = saved(places)
-    district = saved(district_best(places, districts).select("place", "boundary", "malformed").filter("boundary is not null or malformed"))
-    rest = places.join(district.select("place"), "place", "left_anti")
-    by_osm = saved(rest.join(osm_boundary(osm_elements, rest), "name").select("place", "boundary"))
-    asked = rest.join(by_osm.select("place"), "place", "left_anti").withColumn("failed", F.lit(False)).unionByName(places.join(district.filter("malformed").select("place"), "place", "left_semi").withColumn("failed", F.lit(True)))
-    point = best_candidate(asked.drop("failed"), gazetteer).join(asked.select("place", "failed"), "place")
-    drawn = lookup_boundary(*[F.when(~F.col("failed"), F.col(c)) for c in ("lon", "lat", "radius_km")])
-    by_point = point.select("place", drawn.alias("boundary"), "lon", "lat", "radius_km", "level", F.when(F.col("failed"), "point after error").otherwise("point").alias("source"))
-    areas = district.filter("not malformed").select("place", "boundary", F.lit("district").alias("source")).unionByName(by_osm.withColumn("source", F.lit("osm")))
-    areas = areas.select("place", "boundary", none("double").alias("lon"), none("double").alias("lat"), none("double").alias("radius_km"), none("string").alias("level"), "source")
-    found = areas.unionByName(by_point).withColumn("m", K.measures(K.from_geojson("boundary")))
-    return found.select("place", "boundary", F.coalesce("m.cx", "lon").alias("lon"), F.coalesce("m.cy", "lat").alias("lat"), "radius_km", "level", "source")
+    area = lambda rows, source: rows.select("place", "boundary", none("double").alias("lon"), none("double").alias("lat"), none("double").alias("radius_km"), none("string").alias("level"), F.lit(source).alias("source"))
+    places = rest = saved(places)
+    asked = rest.withColumn("failed", F.lit(False))
+    found = [spark.createDataFrame([], "place string, boundary string, lon double, lat double, radius_km double, level string, source string")]
+    if districts is not None:
+        district = saved(district_best(places, districts).select("place", "boundary", "malformed").filter("boundary is not null or malformed"))
+        found.append(area(district.filter("not malformed"), "district"))
+        rest = rest.join(district.select("place"), "place", "left_anti")
+        failed = places.join(district.filter("malformed").select("place"), "place", "left_semi").withColumn("failed", F.lit(True))
+        asked = rest.withColumn("failed", F.lit(False)).unionByName(failed)
+    if osm_elements is not None:
+        by_osm = saved(rest.join(osm_boundary(osm_elements, rest), "name").select("place", "boundary"))
+        found.append(area(by_osm, "osm"))
+        asked = asked.join(by_osm.select("place"), "place", "left_anti")
+    if gazetteer is not None:
+        point = best_candidate(asked.drop("failed"), gazetteer, memo).join(asked.select("place", "failed"), "place")
+        drawn = lookup_boundary(*[F.when(~F.col("failed"), F.col(c)) for c in ("lon", "lat", "radius_km")])
+        found.append(point.select("place", drawn.alias("boundary"), "lon", "lat", "radius_km", "level", F.when(F.col("failed"), "point after error").otherwise("point").alias("source")))
+    rows = reduce(DataFrame.unionByName, found).withColumn("m", K.measures(K.from_geojson("boundary")))
+    return rows.select("place", "boundary", F.coalesce("m.cx", "lon").alias("lon"), F.coalesce("m.cy", "lat").alias("lat"), "radius_km", "level", "source")
 
 
 def enrich(nodes: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -2,26 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.storage import saved
-
-#: Deeper trees fail as E_TOO_DEEP; the others of a table don't.
-MOST_LEVELS = 32
-ROLES = ("child_node", "child_node_1", "child_node_2")
-_CHILD = "array<struct<role:string,ordinal:int,js:string>>"
-
-
-def _children(js: Column) -> Column:
-    """(role, ordinal, js) of the child objects, in the order in which they are evaluated; empty and null ones are missing."""
-    one = [F.struct(F.lit(r).alias("role"), F.lit(i).alias("ordinal"), F.get_json_object(js, f"$.{r}").alias("js")) for i, r in enumerate(ROLES)]
-    many = F.from_json(F.get_json_object(js, "$.child_nodes"), "array<string>")
-    listed = F.transform(many, lambda v, i: F.struct(F.lit("child_nodes").alias("role"), (i + 10).cast("int").alias("ordinal"), v.alias("js")))
-    both = F.concat(F.array(*one), F.coalesce(listed, F.array().cast(_CHILD)))
-    return F.filter(both, lambda c: c["js"].isNotNull() & c["js"].startswith("{") & (F.size(F.coalesce(F.json_object_keys(c["js"]), F.array())) > 0))
+from placeweave.functions import kernel as K
 
 
 def flatten(trees: DataFrame) -> DataFrame:
@@ -29,30 +13,17 @@ def flatten(trees: DataFrame) -> DataFrame:
 
     Text that isn't a JSON object gives one node of type null. Whether a key
     was given is kept apart from its value, for an explicit null is an error
-    where an absent key means the default. Of a tree of more than MOST_LEVELS
-    levels only the root is left, marked as ``too_deep``.
+    where an absent key means the default. Each text is read once, however
+    deep its tree is; ``post`` numbers a tree's nodes so that children, in
+    their order, come before their parent, which has ``kids`` of them.
     """
-    level = trees.select("query_id", F.lit("0").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("root").alias("role"), F.lit(0).alias("ordinal"), F.lit(0).alias("depth"), F.col("tree").alias("js"))
-    levels, deep = [], None
-    for depth in range(MOST_LEVELS + 1):
-        level = saved(level)
-        if depth and not level.limit(1).count():
-            break
-        if depth == MOST_LEVELS:
-            deep = level.select("query_id").distinct()
-            break
-        levels.append(level)
-        kids = level.select("query_id", F.col("node_id").alias("parent_id"), F.explode(_children(F.col("js"))).alias("c"))
-        level = kids.select("query_id", F.concat_ws(".", "parent_id", F.col("c.ordinal")).alias("node_id"), "parent_id", F.col("c.role").alias("role"), F.col("c.ordinal").alias("ordinal"), F.lit(depth + 1).alias("depth"), F.col("c.js").alias("js"))
-    rows = reduce(DataFrame.unionByName, levels).withColumn("too_deep", F.lit(False))
-    if deep is not None:
-        roots = levels[0].join(deep, "query_id", "left_semi").withColumn("too_deep", F.lit(True))
-        rows = rows.join(deep, "query_id", "left_anti").unionByName(roots)
+    K.register(trees.sparkSession)
+    rows = trees.select("query_id", F.inline(K.call("Nodes", F.col("tree").cast("string"))))
     keys = F.json_object_keys("js")
     text = lambda k: F.get_json_object("js", f"$.{k}").alias(k.lstrip("_"))
     number = lambda k: F.get_json_object("js", f"$.{k}").try_cast("double").alias(k)
     return rows.select(
-        "query_id", "node_id", "parent_id", "role", "ordinal", "depth", "too_deep",
+        "query_id", "node_id", "parent_id", "role", "ordinal", "depth", "post", "kids",
         F.when(keys.isNull(), None).otherwise(F.coalesce(F.get_json_object("js", "$.node_type"), F.lit("NamedPlace"))).alias("node_type"),
         text("name"), text("in_region"), text("in_country"), text("in_continent"), text("direction"), F.get_json_object("js", "$._polygon").alias("inline_geojson"), F.get_json_object("js", "$._amap_level").alias("level"),
         number("center_lon"), number("center_lat"), number("radius_km"), number("distance_km"), number("max_distance_km"),

@@ -13,12 +13,16 @@ from placeweave.functions import columns as C
 from placeweave.functions import kernel as K
 from placeweave.functions.pseudo import lookup_boundary, place_boundary
 from placeweave.operators import resolve as R
-from placeweave.operators.coast import spatial_pairs
+from placeweave.operators.memo import LookupMemo
+from placeweave.operators.spatial import spatial_pairs
 from placeweave.plans.evaluate import evaluate_trees
 from placeweave.plans.flatten import flatten
 from placeweave.sources.examples import EXAMPLES
 from placeweave.sources.parser import phrase_tree
+from placeweave.sql import register
+from placeweave.storage import shared_dir
 from placeweave.streaming.directional import beside, streamed
+from placeweave.streaming.texts import evaluate_stream, results
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -175,11 +179,11 @@ def error_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inland.unionByName(at_coast.evaluate_nodes(flatten(_for_regions(spark, sf_dir, FAILING_AT_COAST)))).select("query_id", "status")
 
 
-@query(f"WITH {BOXES} SELECT k, CASE WHEN k % 5 = 3 THEN 'E_TOO_DEEP' END AS status, CASE WHEN k % 5 <> 3 THEN 4.0::DOUBLE END AS area FROM b")
+@query(f"WITH {BOXES} SELECT k, NULL::VARCHAR AS status, 4.0::DOUBLE AS area FROM b")
 def deep_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unions of a box with itself, 3 levels deep, and every fifth 40: one that is too deep fails alone."""
+    """Unions of a box with itself, 3 levels deep, and every fifth 300."""
     rows = nations(spark, sf_dir)
-    levels = F.when(F.col("k") % 5 == 3, 40).otherwise(3)
+    levels = F.when(F.col("k") % 5 == 3, 300).otherwise(3)
     grown = F.aggregate(F.sequence(F.lit(1), levels), F.col("here"), lambda t, i: node("Union", child_nodes=listed(t, F.col("here"))))
     return measured(spark, rows, grown, "area")
 
@@ -205,8 +209,9 @@ def translate_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEVELS = ["兴趣点", "门牌号", "村庄", "乡镇", "区县", "市", "省", "国家"]
 _PLACES = "p AS (SELECT c_custkey AS k, c_name AS name, r_name AS region, n_name AS country FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 _LEVEL_SQL = "CASE k % 8 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_LEVELS)) + " END"
-_SCORE_SQL = "CASE level " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.LEVEL_SCORE.items()) + " ELSE 5 END"
-_RADIUS_SQL = "CASE level " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.LEVEL_RADIUS_KM.items()) + " ELSE 0.5 END"
+# Scores and radii of the eight levels.
+_SCORE_SQL = "CASE level WHEN '门牌号' THEN 1 WHEN '兴趣点' THEN 2 WHEN '村庄' THEN 3 WHEN '乡镇' THEN 4 WHEN '区县' THEN 5 WHEN '市' THEN 6 WHEN '省' THEN 7 WHEN '国家' THEN 8 END"
+_RADIUS_SQL = "CASE level WHEN '兴趣点' THEN 0.15 WHEN '门牌号' THEN 0.1 WHEN '村庄' THEN 0.5 WHEN '乡镇' THEN 2.0 WHEN '区县' THEN 5.0 WHEN '市' THEN 20.0 WHEN '省' THEN 50.0 WHEN '国家' THEN 100.0 END"
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -537,12 +542,14 @@ def pseudo_boundary_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pseudo_boundary_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    K.register(spark)
     k = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(k, place_boundary(100 + k * 37 % 1000 / 100.0, 20 + k * 53 % 1000 / 100.0, F.lit(0.5)).alias("boundary"))
 
 
 @query()
 def pseudo_boundary_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    K.register(spark)
     k = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(k, lookup_boundary(100 + k * 37 % 1000 / 100.0, 20 + k * 53 % 1000 / 100.0, F.lit(0.5)).alias("boundary"))
 
@@ -575,3 +582,74 @@ def border_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "customer").select("c_custkey", K.from_geojson(at).alias("geom"))
     inside = spatial_pairs(strips, points).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     return strips.join(inside, "k", "left").select("k", F.coalesce("n", F.lit(0)).alias("customers"))
+
+
+@query(f"WITH {BOXES} SELECT k, round(4 + 8 * {D('5')} + {ROUND} * {D('5')} * {D('5')}, 6) AS area FROM b")
+def failfast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buffers of all nations where a failure would fail the job."""
+    K.register(spark)
+    trees = nations(spark, sf_dir).select(F.col("k").alias("query_id"), node("Buffer", distance_km=5, child_node=F.col("here")).alias("tree"))
+    return evaluate_trees(trees, mode="failfast").select(F.col("query_id").alias("k"), F.round(K.measures("geom")["area"], 6).alias("area"))
+
+
+@query(
+    f"""WITH {_PLACES}, c AS (SELECT k, CASE WHEN region = 'ASIA' THEN 15 ELSE 8 END AS candidates FROM p)
+SELECT CASE WHEN k % 2 = 0 THEN 1 ELSE 2 END AS call, sum(candidates)::BIGINT AS lookups, 2 * count(*)::BIGINT AS found FROM c GROUP BY ALL"""
+)
+def memo_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-ups that a gazetteer is asked for when even customers are resolved, then all, then all again: each address once."""
+    memo, c = LookupMemo(spark), _customers(spark, sf_dir)
+    gazetteer = _gazetteer(c)
+    for asked in (c.filter("k % 2 = 0"), c, c):
+        R.best_candidate(asked.drop("k"), gazetteer, memo)
+    return memo.known().groupBy("call").agg(F.count(F.lit(1)).alias("lookups"), F.count("found").alias("found"))
+
+
+@query(f"WITH {BOXES} SELECT k, 4::BIGINT AS nodes, 2 AS deepest, round(2 * (4 + 8 * {D('3')} + {ROUND} * {D('3')} * {D('3')}), 6) AS area, 8.0::DOUBLE AS length FROM b")
+def sql_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of two boxes a nation, taken apart and measured in SQL alone."""
+    register(spark)
+    table(spark, sf_dir, "nation").createOrReplaceTempView("placeweave_nation")
+    return spark.sql(
+        """WITH b AS (SELECT n_nationkey AS k, double(100 + 2 * (n_nationkey % 5)) AS x, double(20 + 2 * (n_nationkey div 5)) AS y FROM placeweave_nation),
+        t AS (SELECT k, format_string('{"node_type":"Buffer","child_node":{"node_type":"Union","child_nodes":[{"_polygon":%s},{"_polygon":%s}]}}',
+                                      place_ToGeoJson(place_box(x, y, x + 2, y + 2)), place_ToGeoJson(place_box(x + 5, y, x + 7, y + 2))) AS tree FROM b),
+        n AS (SELECT k, depth, place_FromGeoJson(get_json_object(js, '$._polygon')) AS geom FROM t, LATERAL place_tree_nodes(tree))
+        SELECT k, count(*) AS nodes, max(depth) AS deepest, round(sum(place_area(place_near(geom, 3D))), 6) AS area, round(max(place_length(place_Boundary(geom))), 6) AS length FROM n GROUP BY k"""
+    )
+
+
+@query(
+    f"""WITH s AS (SELECT s_suppkey AS k, {deg('2.0', '20.5 + ((s_suppkey * 53) % 1000) / 100.0::DOUBLE')} AS d FROM supplier WHERE ({_OSM_SQL}) AND s_suppkey % 3 < 2)
+SELECT k, NULL::VARCHAR AS status, round(1 + 4 * d + {ROUND} * d * d, 6) AS area FROM s UNION ALL SELECT s_suppkey, 'E2', NULL FROM supplier WHERE NOT (({_OSM_SQL}) AND s_suppkey % 3 < 2)"""
+)
+def streaming_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts about suppliers as a stream, through phrases and map features, to areas; what no source has is E2."""
+    schema = table(spark, sf_dir, "supplier").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "supplier.parquet").parquet(sf_dir)
+    path = shared_dir(spark)
+    texts = rows.select(F.col("s_suppkey").alias("query_id"), F.concat("s_name", F.lit("附近2公里")).alias("text"))
+    evaluate_stream(Engine(osm_elements=_osm(spark, sf_dir)), texts, path).awaitTermination()
+    return results(spark, path, "bigint").select(F.col("query_id").alias("k"), "status", F.round(K.measures("geom")["area"], 6).alias("area"))
+
+
+# Lon, lat, radius in km; sides, first corner and area of a boundary drawn for a place, first corner and area of one drawn for a look-up.
+_DRAWN = [
+    (113.937, 22.533, 0.15, 8, 113.93834663262746, 22.53273133045951, 5.580639708568924e-06, 113.93819416037405, 22.533328218261392, 5.943597443547333e-06),
+    (116.3975, 39.9087, 0.5, 7, 116.40194090846154, 39.909730764654356, 1.0007636592490599e-04, 116.40188385976666, 39.90753771165595, 8.35231594464858e-05),
+    (2.2, 46.6, 100.0, 10, 3.8187149069256265, 46.808654935849766, 5.165427831327374, 3.4206906604496456, 46.80713629147941, 5.306343439796681),
+    (-58.4, -34.6, 20.0, 11, -58.21400372821584, -34.63342101443431, 0.1335736440206574, -58.17275758522072, -34.61961972083953, 0.15649603070028206),
+]
+_DRAWN_SQL = ", ".join(f"({i}, {sides}, " + ", ".join(f"round({v!r}::DOUBLE, 9)" for v in rest) + ")" for i, (_, _, _, sides, *rest) in enumerate(_DRAWN))
+
+
+@query(f"SELECT s_suppkey, sides_a, x_a, y_a, area_a, 10 AS sides_b, x_b, y_b, area_b FROM supplier JOIN (VALUES {_DRAWN_SQL}) g(i, sides_a, x_a, y_a, area_a, x_b, y_b, area_b) ON s_suppkey % 4 = i")
+def pseudo_boundary_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both drawn boundaries of four known places, dealt to the suppliers: sides, first corner, area."""
+    K.register(spark)
+    place = F.element_at(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("lon", "lat", "km"), row, strict=False)]) for row in _DRAWN]), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", place.alias("p"))
+    for x, draw in (("a", place_boundary), ("b", lookup_boundary)):
+        rows = rows.withColumn(x, draw(F.col("p.lon"), F.col("p.lat"), F.col("p.km"))).withColumn(f"ring_{x}", F.from_json(F.get_json_object(x, "$.coordinates[0]"), "array<array<double>>"))
+    wanted = lambda x: [(F.size(f"ring_{x}") - 1).alias(f"sides_{x}"), F.round(F.col(f"ring_{x}")[0][0], 9).alias(f"x_{x}"), F.round(F.col(f"ring_{x}")[0][1], 9).alias(f"y_{x}"), F.round(K.measures(K.from_geojson(x))["area"], 9).alias(f"area_{x}")]
+    return rows.select("s_suppkey", *wanted("a"), *wanted("b"))

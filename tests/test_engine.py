@@ -10,9 +10,12 @@ from placeweave.engine import TABLES, Engine, write_features, write_maps
 from placeweave.functions import kernel as K
 from placeweave.functions.columns import polyline_malformed, polyline_rings
 from placeweave.functions.pseudo import lookup_boundary, place_boundary
+from placeweave.operators.memo import LookupMemo
 from placeweave.plans.evaluate import evaluate_trees
 from placeweave.sources.examples import EXAMPLES
 from placeweave.sources.parser import phrase_tree
+from placeweave.sql import register
+from placeweave.streaming.texts import evaluate_stream, results
 
 # Golden values: lon, lat, radius in km; sides, first corner and area of both boundaries.
 DRAWN = [
@@ -64,12 +67,59 @@ def test_malformed_polylines(spark):
     assert [r and sum(map(len, r)) for r in (got[i].r for i in (0, 2, 3, 4, 6))] == [3, 1, None, None, 2]
 
 
-def test_deep_trees_fail_alone(spark):
+def test_deep_trees_and_what_fails_alone(spark):
     deep = SQUARE
     for _ in range(40):
         deep = json.dumps({"node_type": "Buffer", "distance_km": 0, "child_node": json.loads(deep)})
     trees = spark.createDataFrame([("deep", deep), ("flat", SQUARE), ("null", None), ("text", "no tree")], "query_id string, tree string")
-    assert {r.query_id: r.status for r in evaluate_trees(trees).collect()} == {"deep": "E_TOO_DEEP", "flat": None, "null": "E1", "text": "E1"}
+    assert {r.query_id: r.status for r in evaluate_trees(trees).collect()} == {"deep": None, "flat": None, "null": "E1", "text": "E1"}
+
+
+def test_memo(spark, tmp_path):
+    """A second session asks the gazetteer for nothing, also not for what it hadn't; what it knows outlives the source."""
+    given, path = tables(spark), str(tmp_path / "memo")
+    asked = spark.createDataFrame([(n, n) for n in ("point", "unknown", "bad")], "query_id string, text string")
+    first = {r.query_id: r.status for r in Engine(gazetteer=given["gazetteer"], memo=LookupMemo(spark, path)).evaluate(asked).collect()}
+    assert first == {"point": None, "unknown": "E2", "bad": "E2"}
+    known = LookupMemo(spark, path).known()
+    assert known.select("call").distinct().count() == 1 and known.filter("address_key = 'unknown' and found is null").count() == 1
+    later = Engine(gazetteer=given["gazetteer"].limit(0), memo=LookupMemo(spark, path))
+    assert {r.query_id: r.status for r in later.evaluate(asked).collect()} == first and LookupMemo(spark, path)._calls() == [1]
+    more = spark.createDataFrame([("x", "point"), ("y", "new")], "query_id string, text string")
+    assert {r.query_id: r.status for r in later.evaluate(more).collect()} == {"x": None, "y": "E2"}
+    assert {r.address_key for r in LookupMemo(spark, path).known().filter("call = 2").collect()} >= {"new"} and not LookupMemo(spark, path).known().filter("call = 2 and address_key = 'point'").count()
+
+
+def test_stream_of_texts_after_a_restart(spark, tmp_path):
+    given, names = tables(spark), ["square", "feature", "point", "unknown", "broken", "bad"]
+    for i in range(0, 6, 2):
+        spark.createDataFrame([(n, n) for n in names[i : i + 2]], "query_id string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    asked = spark.read.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    calls = []
+
+    class Failing(Engine):
+        def evaluate(self, queries, mode="permissive"):
+            calls.append(1)
+            if len(calls) == 2:
+                raise RuntimeError("lost")
+            return super().evaluate(queries, mode)
+
+    path = str(tmp_path / "out")
+    with pytest.raises(Exception, match="lost"):
+        evaluate_stream(Failing(**given), stream, path).awaitTermination()
+    assert results(spark, path).count() == 2
+    evaluate_stream(Failing(**given), stream, path).awaitTermination()
+    rows = lambda df: sorted((r.query_id, r.status, r.kind, r.area) for r in df.select("query_id", "status", "kind", F.round(K.measures("geom")["area"], 9).alias("area")).collect())
+    assert repr(rows(results(spark, path))) == repr(rows(Engine(**given).evaluate(asked))) and len(calls) == 4
+
+
+def test_sql_views_and_functions(spark):
+    register(spark, Engine(**tables(spark)))
+    assert spark.sql("SELECT count(*) FROM place_gazetteer").first()[0] == 3
+    row = spark.sql("SELECT place_area(place_box(0D, 0D, 2D, 1D)), place_length(place_Boundary(place_box(0D, 0D, 2D, 1D))), place_km_to_degrees(111.32D, 0D), place_area(NULL)").first()
+    assert tuple(row) == (2.0, 6.0, pytest.approx(1.0), None)
+    assert spark.sql(f"SELECT node_id, kids FROM place_tree_nodes('{SQUARE}')").collect() == [("0", 0)]
 
 
 def test_parser_as_a_callable(spark):
