@@ -106,6 +106,11 @@ def text_batches(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iter
         yield from text_batches(iter([batch.slice(0, half), batch.slice(half)]), most)
 
 
+def raw_texts(column: pa.Array) -> list[bytes]:
+    """The bytes of a string column, valid UTF-8 or not; null counts as empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
 def count_threshold(rows: DataFrame, count: str, most: int, least: int = 1) -> int:
     """The smallest power of two times ``least`` that ``count`` reaches in at most ``most`` rows."""
     power = F.floor(F.log2(F.col(count) / least)).cast("int")

@@ -118,11 +118,11 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, doc_id: str = "doc_
     apart; without it they are numbered as they are read. Other columns are
     not read.
     """
-    index = index or DigestIndex(docs.sparkSession)
+    own, index = index is None, index or DigestIndex(docs.sparkSession)
     run = uuid.uuid4().int >> 66  # row numbers of earlier calls never match
     id_ = F.col(doc_id).cast("long")
     least, most = docs.agg(F.min(id_), F.max(id_)).first()
-    share = (id_ - F.lit(least or 0)).cast("double") * batches / (float((most or 0) - (least or 0)) + 1)
+    share = (id_.cast("double") - F.lit(float(least or 0))) * batches / (float((most or 0) - (least or 0)) + 1)
     batch = F.coalesce(F.least(F.floor(share), F.lit(batches - 1)), F.lit(batches - 1)).cast("int")
     keyed = docs.select(id_.alias("doc_id"), F.col(text).alias("_text"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), batch.alias("batch"))
     rows = saved(with_digest(keyed, "_text").drop("_text"), ("batch",))
@@ -132,6 +132,8 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, doc_id: str = "doc_
     sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
     with _ordered(docs.sparkSession):
         stays = saved(sizes.join(index.table().hint("merge"), "digest"))
+    if own:
+        index.close()
     kept = (F.col("run") == run) & (F.col("row") == F.col("keep_row"))
     return join_hot(rows, stays, "digest", "group_size").select("doc_id", "row", "digest", "keep_id", "group_size", kept.alias("kept"))
 

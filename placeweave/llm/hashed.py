@@ -109,11 +109,6 @@ def first_hashes(words: list[bytes]) -> np.ndarray:
     return h[np.cumsum(n) - n]
 
 
-def raw_texts(column: pa.Array) -> list[bytes]:
-    """The bytes of a string column; null counts as empty."""
-    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
-
-
 @dataclass
 class Filter:
     """Says of 64-bit keys that they aren't in a set, or may be: each key sets two bits of one number."""

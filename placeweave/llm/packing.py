@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved, table, text_batches
+from .common import raw_texts, saved, table, text_batches
 from .tokens import Encoder
 
 CAPACITY = 2048
@@ -145,8 +145,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, paths: tuple[str |
     encoder, part, seen = Encoder.get(*paths), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     for batch in text_batches(batches):
         rows: list[tuple] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = encoder.encode(text) + END
+        for doc_id, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
+            ids = encoder.encode(text.decode("utf-8", "replace")) + END
             n = len(ids) // 4
             start, cut = 0, n % capacity or capacity
             for piece in range(-(-n // capacity)):

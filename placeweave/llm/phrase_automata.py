@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, join_hot, saved, table, text_batches, tidied
-from .hashed import Filter, byte_values, mixed, plain_hashes, raw_texts, run_hashes
+from .common import dropped, join_hot, raw_texts, saved, table, text_batches, tidied
+from .hashed import Filter, byte_values, mixed, plain_hashes, run_hashes
 
 #: Words of a window, and of the phrases that anchors are drawn from.
 WINDOW, ANCHOR = 35, 10

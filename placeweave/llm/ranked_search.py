@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, shared_dir, table, text_batches
-from .hashed import byte_values, plain_hashes, raw_texts
+from .common import raw_texts, saved, shared_dir, table, text_batches
+from .hashed import byte_values, plain_hashes
 
 #: Bytes of texts in a shard, about.
 SHARD_BYTES = 8 << 20

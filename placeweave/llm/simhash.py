@@ -11,16 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import free_name, join_hot, saved, table, text_batches
+from .common import free_name, join_hot, raw_texts, saved, table, text_batches
 
 BITS = 64
 #: Fingerprints of one signature that are compared with each other at once; larger groups are cut into blocks, and each pair of blocks is compared.
 BLOCK = 1024
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
-    """Majority of the bits of the XXH64 (seed 42) of the text's word shingles, repeats included; 0 without words."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
+def fingerprint(text: str | bytes | None, size: int = 3) -> int:
+    """Majority of the bits of the XXH64 (seed 42) of the text's word shingles, repeats included; 0 without words. Bytes that are no UTF-8 are bytes of words like any others."""
+    words = (text.encode("utf-8", "replace") if isinstance(text, str) else text or b"").lower().split()
     if not words:
         return 0
     if len(words) <= size:
@@ -40,7 +40,7 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in text_batches(batches):
-        found = np.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+        found = np.array([fingerprint(t, size) for t in raw_texts(batch.column(1))], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
 
 
@@ -173,6 +173,7 @@ def _grouped(nodes: DataFrame, limit: int) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of each document, by shingles of three words and links of at most 3 bits."""
     rows = near_groups(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import raw_texts, saved, table
 
 THRESHOLD = 100
 SEED = 32
@@ -187,8 +187,7 @@ def _ranked(batches: Iterator[pa.RecordBatch], length: int, seed: int, parts: in
 
     size = 0
     for batch in batches:
-        for doc, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = (text or "").encode()
+        for doc, row, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True):
             for at in range(0, len(data) - length + 1, BUFFER):
                 pieces.append((doc, row, at, data[at : at + BUFFER + length - 1]))
                 size += len(pieces[-1][3])
@@ -249,7 +248,7 @@ def _by_row(batches: Iterator[pa.RecordBatch], kinds: dict) -> Iterator[tuple[in
     data: list[bytes] = []
     rows: dict[str, np.ndarray] | None = None
     for batch in batches:
-        for packed, doc, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for packed, doc, row, text in zip(*(c.to_pylist() for c in batch.columns[:3]), raw_texts(batch.column(3)), strict=True):
             if packed is not None:
                 data.append(packed)
                 continue
@@ -258,7 +257,7 @@ def _by_row(batches: Iterator[pa.RecordBatch], kinds: dict) -> Iterator[tuple[in
                 order = np.argsort(rows["row"], kind="stable")
                 rows = {k: v[order] for k, v in rows.items()}
             a, b = np.searchsorted(rows["row"], [row, row + 1])
-            yield doc, row, (text or "").encode(), {k: v[a:b] for k, v in rows.items()}
+            yield doc, row, text, {k: v[a:b] for k, v in rows.items()}
 
 
 def _strings(asked: dict[str, np.ndarray], texts: list[bytes], length: int) -> dict[str, np.ndarray]:

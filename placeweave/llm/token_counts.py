@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved, table, text_batches
+from .common import raw_texts, saved, table, text_batches
 from .tokens import Encoder
 
 #: The separator of the 50k vocabulary; no text has it, since strings of special tokens are encoded as ordinary text here.
@@ -35,8 +35,8 @@ def _flat(batches: Iterator[pa.RecordBatch], block: int, end: int, paths: tuple[
         )
 
     for batch in text_batches(batches):
-        for text in batch.column(1).to_pylist():
-            rest += [np.frombuffer(encoder.encode(text), "<u4").astype("<u2").tobytes(), stop]
+        for text in raw_texts(batch.column(1)):
+            rest += [np.frombuffer(encoder.encode(text.decode("utf-8", "replace")), "<u4").astype("<u2").tobytes(), stop]
         joined = b"".join(rest)
         full = len(joined) // (2 * block)
         cut = [joined[2 * block * i : 2 * block * (i + 1)] for i in range(full)]

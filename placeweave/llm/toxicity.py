@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import free_name, held_out, saved, table, text_batches
-from .hashed import Values, byte_values, mixed, raw_texts, word_hashes
+from .common import free_name, held_out, raw_texts, saved, table, text_batches
+from .hashed import Values, byte_values, mixed, word_hashes
 
 #: Labelled documents the models are fitted on at most: those of the smallest hashes of their ids, up to half of them toxic.
 LABELLED = 20_000

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table, text_batches
+from .common import raw_texts, saved, table, text_batches
 
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, DATA_PID = 0, 0x1000, 0x0100
@@ -241,9 +241,9 @@ def demux(data: bytes) -> Stream:
     return found
 
 
-def padded(text: str | None) -> bytes:
-    """The text as UTF-8, filled with spaces to a positive multiple of 192 bytes."""
-    data = (text or "").encode()
+def padded(text: str | bytes | None) -> bytes:
+    """The text as UTF-8, or its bytes if they are none, filled with spaces to a positive multiple of 192 bytes."""
+    data = text.encode() if isinstance(text, str) else text or b""
     return data + b" " * (-len(data) % ALIGN if data else ALIGN)
 
 
@@ -252,8 +252,8 @@ def with_streams(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
-            texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([mux(padded(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+            texts = raw_texts(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([mux(padded(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 

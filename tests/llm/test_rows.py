@@ -1,11 +1,14 @@
 """Null and repeated ids, null texts, and extra columns of clashing names: what each operator makes of them."""
 
+import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from placeweave.llm import exact_dedup, packing, simhash, suffix_dedup, token_counts, transport_stream, url_filter
 from placeweave.llm.common import saved
+from placeweave.llm.tokens import Encoder
 
 LONG = "the quick brown fox jumps over the lazy dog while the band plays on and on and on until the morning comes"
 ROWS = [(1, LONG), (1, LONG), (None, LONG), (None, None), (2, ""), (2, "other"), (3, None), (None, "other")]
@@ -91,3 +94,29 @@ def test_urls(spark):
     pages = spark.createDataFrame([(1, "http://a.org/"), (1, "http://a.org/"), (None, None), (None, "http://a.com/de/")], "page_id long, url string")
     got = Counter((r.page_id, r.verdict, r.rule) for r in url_filter.judge_urls(pages.withColumnRenamed("page_id", "_row"), url_filter.rule_table(spark), keys=("_row",)).withColumnRenamed("_row", "page_id").collect())
     assert got == Counter([(1, "allow", "org/"), (1, "allow", "org/"), (None, "allow", None), (None, "block", "com/de/")])
+
+
+def test_bytes_that_are_no_utf8(spark):
+    """Each operator on bytes reads them as they are; for those on tokens they count as replacement characters."""
+    data = [b"\xff\xfe", LONG.encode() + b" \xc3", b"x" + LONG.encode() + b" \xc3", "caf\u00e9".encode()]
+    rows = saved(spark.createDataFrame(list(enumerate(data)), "doc_id long, raw binary").select("doc_id", F.expr("cast(raw as string)").alias("text")))
+    spans = {r.doc_id: r for r in suffix_dedup.removed_spans(rows).collect()}
+    assert [spans[i].n_bytes for i in range(4)] == [len(d) for d in data] and spans[2].n_removed == len(data[1]) and spans[2].kept_sha256 == hashlib.sha256(b"x").hexdigest()
+    streams = {r.doc_id: r.payload_sha256 for r in transport_stream.described(transport_stream.with_streams(rows)).collect()}
+    assert streams == {i: hashlib.sha256(d.ljust(-(-len(d) // 192) * 192)).hexdigest() for i, d in enumerate(data)}
+    assert {r.doc_id: r.fp & (1 << 64) - 1 for r in simhash.fingerprints(rows).collect()} == {i: simhash.fingerprint(d) for i, d in enumerate(data)}
+    encoder = Encoder.get()
+    sizes = Counter()
+    for r in packing.pack(rows).collect():
+        sizes[r.doc_id] += r.length
+    assert sizes == {i: len(encoder.encode(d.decode("utf-8", "replace"))) // 4 + 1 for i, d in enumerate(data)}
+    blocks, order = token_counts.flat_files(rows)
+    assert token_counts.document_spans(blocks).join(order, ["file", "doc_index"]).count() == 4
+
+
+def test_ids_at_both_ends_and_no_tables_left(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    ids = [-(1 << 63), (1 << 63) - 1, 0, -5, None]
+    got = exact_dedup.dedup(saved(spark.createDataFrame([(i, "same") for i in ids], "doc_id long, text string"))).collect()
+    assert {r.keep_id for r in got} == {-(1 << 63)} and [r.doc_id for r in got if r.kept] == [-(1 << 63)]
+    assert {t.name for t in spark.catalog.listTables()} == before
