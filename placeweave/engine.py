@@ -14,7 +14,9 @@ from placeweave.operators.memo import LookupMemo
 from placeweave.operators.resolve import enrich, places_of, resolve
 from placeweave.plans.evaluate import evaluate_nodes
 from placeweave.plans.flatten import flatten
+from placeweave.sources.answers import ANSWERS, READERS
 from placeweave.sources.coastline import read_coastline
+from placeweave.sources.geojson import write_features_as_collections
 from placeweave.sources.parser import called, phrase_tree, recorded
 from placeweave.storage import saved
 
@@ -52,16 +54,26 @@ class Engine:
 
     @classmethod
     def of_tables(cls, spark: SparkSession, folder: str) -> Engine:
-        """From the tables that a folder has under the names above: Parquet (name.parquet), JSON lines (name.json), and coastline.geojson."""
+        """From the tables that a folder has under the names above: Parquet (name.parquet), JSON lines (name.json), and coastline.geojson.
+
+        Where a table isn't there, recorded answers of its service are read
+        (see sources/answers.py).
+        """
         path = spark._jvm.org.apache.hadoop.fs.Path
         store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
         there = lambda name: store.exists(path(folder, name))
+
+        def read(name: str, schema: str) -> DataFrame | None:
+            if there(f"{name}.parquet"):
+                return spark.read.parquet(f"{folder}/{name}.parquet")
+            return spark.read.schema(schema).json(f"{folder}/{name}.json") if there(f"{name}.json") else None
+
         found = {}
         for name, schema in TABLES.items():
-            if there(f"{name}.parquet"):
-                found[name] = spark.read.parquet(f"{folder}/{name}.parquet")
-            elif there(f"{name}.json"):
-                found[name] = spark.read.schema(schema).json(f"{folder}/{name}.json")
+            rows = read(name, schema)
+            if rows is None and name in ANSWERS and (answers := read(*ANSWERS[name])) is not None:
+                rows = READERS[name](answers)
+            found[name] = rows
         if there("coastline.geojson"):
             found["coastline"] = read_coastline(spark, f"{folder}/coastline.geojson")
         return cls(**found)
@@ -95,6 +107,11 @@ def write_features(geoms: DataFrame, path: str) -> None:
     features(geoms).select("feature").write.text(path)
 
 
+def write_collections(geoms: DataFrame, path: str) -> None:
+    """Files of one feature collection each, as many as there are partitions."""
+    write_features_as_collections(features(geoms).select("feature"), path)
+
+
 def write_maps(geoms: DataFrame, path: str) -> None:
     """A page for each query that succeeded, in a folder of its name."""
     map_pages(geoms).withColumn("query", F.col("query_id").cast("string")).select("query", F.col("html").alias("value")).write.partitionBy("query").text(path)

@@ -116,12 +116,12 @@ def precise_bounds(places: DataFrame, gazetteer: DataFrame, memo: LookupMemo | N
 
 
 def region_adcode(regions: DataFrame, districts: DataFrame) -> DataFrame:
-    """(region, adcode) by the region's name, then its Chinese name, each bare and with suffixes; the first code that isn't empty."""
+    """(region, adcode) by the region's name, then its Chinese name, each bare and with suffixes; the code of the first answer whose first district has one."""
     region = F.col("region")
     names = [region, C.chinese_name(region)]
     entries = [F.struct(F.when(n.contains(s), n).otherwise(F.concat(n, F.lit(s))).alias("address"), F.lit(None).cast("string").alias("city")) for n in names for s in REGION]
     keys = regions.select("region", F.inline(_ordered(entries))).select("region", "ordinal", F.col("address").alias("keyword"))
-    codes = districts.filter("adcode <> ''").join(keys.select("keyword").distinct(), "keyword", "left_semi").groupBy("keyword").agg(F.min_by("adcode", "position").alias("adcode"))
+    codes = districts.join(keys.select("keyword").distinct(), "keyword", "left_semi").groupBy("keyword").agg(F.min_by("adcode", "position").alias("adcode")).filter("adcode <> ''")
     return keys.join(codes, "keyword").groupBy("region").agg(F.min_by("adcode", "ordinal").alias("adcode"))
 
 

@@ -17,7 +17,9 @@ from placeweave.operators.memo import LookupMemo
 from placeweave.operators.spatial import spatial_pairs
 from placeweave.plans.evaluate import evaluate_trees
 from placeweave.plans.flatten import flatten
+from placeweave.sources.answers import ANSWERS
 from placeweave.sources.examples import EXAMPLES
+from placeweave.sources.geojson import read_features, write_features_as_collections
 from placeweave.sources.parser import phrase_tree
 from placeweave.sql import register
 from placeweave.storage import shared_dir
@@ -653,3 +655,45 @@ def pseudo_boundary_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = rows.withColumn(x, draw(F.col("p.lon"), F.col("p.lat"), F.col("p.km"))).withColumn(f"ring_{x}", F.from_json(F.get_json_object(x, "$.coordinates[0]"), "array<array<double>>"))
     wanted = lambda x: [(F.size(f"ring_{x}") - 1).alias(f"sides_{x}"), F.round(F.col(f"ring_{x}")[0][0], 9).alias(f"x_{x}"), F.round(F.col(f"ring_{x}")[0][1], 9).alias(f"y_{x}"), F.round(K.measures(K.from_geojson(x))["area"], 9).alias(f"area_{x}")]
     return rows.select("s_suppkey", *wanted("a"), *wanted("b"))
+
+
+@query(
+    """SELECT s_nationkey AS nation, count(*) AS features, sum(s_suppkey)::BIGINT AS ids, sum(length(s_name) + 12)::BIGINT AS letters,
+count(*) FILTER (s_suppkey % 10 <> 0) AS lines, sum(CASE WHEN s_suppkey % 10 <> 0 THEN 1 + s_suppkey % 7 END)::DOUBLE AS length FROM supplier GROUP BY 1"""
+)
+def geojson_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as features with awkward texts, some without a geometry, written to collections and read back."""
+    K.register(spark)
+    s = table(spark, sf_dir, "supplier")
+    line = F.format_string('{"type":"LineString","coordinates":[[%1$d,0],[%1$d,%2$d]]}', F.col("s_nationkey") + 100, 1 + F.col("s_suppkey") % 7)
+    properties = F.to_json(F.struct("s_suppkey", "s_nationkey", F.concat("s_name", F.lit(' }"]{[\\"},北京')).alias("s_name")))
+    path = shared_dir(spark)
+    write_features_as_collections(s.select(F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":'), F.when(F.col("s_suppkey") % 10 != 0, line).otherwise("null"), F.lit("}"))), path)
+    rows = read_features(spark, path, "s_suppkey long, s_nationkey long, s_name string").withColumn("m", K.measures(K.from_geojson("geometry")))
+    wanted = F.count(F.lit(1)).alias("features"), F.sum("properties.s_suppkey").alias("ids"), F.sum(F.length("properties.s_name")).alias("letters"), F.count("geometry").alias("lines"), F.sum("m.length").alias("length")
+    return rows.groupBy(F.col("properties.s_nationkey").alias("nation")).agg(*wanted)
+
+
+def _answers(rows: DataFrame, keys: list[str], member: str, wanted: list[str]) -> DataFrame:
+    """Rows of a table as the answers that gave them, one for each key."""
+    objects = F.transform(F.array_sort(F.collect_list(F.struct("position", F.struct(*wanted).alias("o")))), lambda r: r["o"])
+    body = F.to_json(F.struct(F.lit("1").alias("status"), objects.alias(member)))
+    return rows.groupBy(*keys).agg(body.alias("body"))
+
+
+@query(SQL["source_fallback"])
+def recorded_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of source_fallback, by an engine over a folder of recorded answers of the services."""
+    customers, none, folder = _customers(spark, sf_dir), F.lit(None).cast("string"), shared_dir(spark)
+    elements = _osm(spark, sf_dir).select("name", F.concat(F.lit('{"type":"'), "osm_type", F.lit('","tags":'), F.to_json("tags"), F.lit(',"geometry":'), "geometry", F.lit("}")).alias("e"))
+    answers = {
+        "gazetteer": _answers(_gazetteer(customers), ["address_key", "city"], "geocodes", ["location", "level", "formatted_address"]),
+        "districts": _answers(_districts(spark, sf_dir), ["keyword"], "districts", ["name", "adcode", "level", "polyline"]),
+        "osm_elements": elements.groupBy("name").agg(F.concat(F.lit('{"elements":['), F.array_join(F.collect_list("e"), ","), F.lit("]}")).alias("body")),
+    }
+    for name, rows in answers.items():
+        rows.write.json(f"{folder}/{ANSWERS[name][0]}.json")
+    engine = Engine.of_tables(spark, folder)
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), none.alias("in_region"), none.alias("in_country")).withColumn("place", R._key())
+    places = _nation_places(spark, sf_dir).unionByName(customers.drop("k")).unionByName(suppliers)
+    return R.resolve(places, engine.gazetteer, engine.districts, engine.osm_elements).groupBy("source").agg(F.count(F.lit(1)).alias("places"))
