@@ -25,8 +25,9 @@ class Sums:
     """An index of the available lengths: which single lengths, pairs and triples have each sum.
 
     ``pairs[s]`` marks the larger length of each pair of sum ``s``, and
-    ``triples[s]`` the largest of each triple: one that leaves a sum that a
-    pair has. A pair or triple needs a length as often as it has it.
+    ``triples[s]`` the largest of each triple. A pair or triple needs a length
+    as often as it has it. Lengths only run out, so a triple's mark is made
+    once, before any is taken, and removed when it is found to hold no longer.
     """
 
     def __init__(self, counts: np.ndarray) -> None:
@@ -34,8 +35,11 @@ class Sums:
         s, n = np.ogrid[: self.size, : self.size]
         self.halves = (n >= s - n) & (n < s)
         self.pairs = np.zeros((self.size, self.size), bool)
-        for n in range(1, self.size):
-            self._set_pairs(n)
+        for length in range(1, self.size):
+            self._set_pairs(length)
+        # A length is the largest of a triple where the rest has a pair with none larger.
+        least = np.where(self.pairs.any(1), self.pairs.argmax(1), self.size)
+        self.triples = (n <= s) & (counts[n] > 0) & (least[np.maximum(s - n, 0)] <= n)
 
     def _set_pairs(self, n: int) -> None:
         """Mark anew the pairs that have the length ``n``."""
@@ -58,14 +62,12 @@ class Sums:
         found = np.flatnonzero(self.pairs[gap])
         if len(found):
             return int(found[-1]), int(gap - found[-1])
-        for a in np.flatnonzero(self.left[:gap])[::-1].tolist():
-            rest = gap - a
-            if 3 * a < gap:
-                return None
-            for b in np.flatnonzero(self.pairs[rest][: a + 1])[::-1].tolist():
-                c = rest - b
-                if all(self.left[n] >= k for n, k in Counter((a, b, c)).items()):
-                    return a, b, c
+        for a in np.flatnonzero(self.triples[gap] & (self.left > 0))[::-1].tolist():
+            for b in np.flatnonzero(self.pairs[gap - a][: a + 1])[::-1].tolist():
+                whole = a, b, gap - a - b
+                if all(self.left[n] >= k for n, k in Counter(whole).items()):
+                    return whole
+            self.triples[gap, a] = False
         return None
 
 
