@@ -657,6 +657,55 @@ def pseudo_boundary_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", *wanted("a"), *wanted("b"))
 
 
+# The draws themselves: a Mersenne Twister seeded by an array of one number. The state is filled, mixed with the seed (1..623, then 1 again) and mixed once more (2..623, then 1), each by a scan.
+_TWISTER_SQL = f"""WITH RECURSIVE
+s AS (SELECT s_suppkey, 100 + ((s_suppkey * 37) % 1000) / 100.0::DOUBLE AS lon, 20 + ((s_suppkey * 53) % 1000) / 100.0::DOUBLE AS lat FROM supplier),
+p AS (SELECT *, trunc(lon * 10000 + lat * 10000)::UBIGINT AS seed FROM s),
+filled(i, x) AS (SELECT 0, 19650218::UBIGINT UNION ALL SELECT i + 1, (1812433253::UBIGINT * xor(x, x >> 30) + i + 1) & 4294967295 FROM filled WHERE i < 623),
+f AS (SELECT list(x ORDER BY i) AS xs FROM filled),
+one(seed, i, x, x1) AS (
+  SELECT DISTINCT seed, 0, xs[1], 0::UBIGINT FROM p, f
+  UNION ALL SELECT seed, i + 1, n, CASE WHEN i = 0 THEN n ELSE x1 END FROM (
+    SELECT seed, i, x1, (xor(CASE WHEN i = 623 THEN x1 ELSE xs[i + 2] END, xor(x, x >> 30) * 1664525::UBIGINT) + seed) & 4294967295 AS n FROM one, f WHERE i < 624)),
+mixed AS (SELECT seed, list(x ORDER BY i) AS xs FROM one GROUP BY seed),
+two(seed, i, x, xs) AS (
+  SELECT seed, 1, xs[625], xs FROM mixed
+  UNION ALL SELECT seed, i + 1, (xor(xs[CASE WHEN i = 623 THEN 625 ELSE i + 2 END], xor(x, x >> 30) * 1566083941::UBIGINT) + 4294967296 - CASE WHEN i = 623 THEN 1 ELSE i + 1 END) & 4294967295, xs FROM two WHERE i < 624),
+state AS (SELECT seed, list(x ORDER BY i) AS y FROM two WHERE i > 1 GROUP BY seed),
+held AS (SELECT seed, k, CASE WHEN k = 0 THEN 2147483648::UBIGINT WHEN k = 1 THEN y[623] ELSE y[k - 1] END AS v FROM state, range(624) r(k)),
+turned AS (
+  SELECT a.seed, a.k, (a.v & 2147483648::UBIGINT) | (b.v & 2147483647::UBIGINT) AS u, c.v AS far
+  FROM held a JOIN held b ON b.seed = a.seed AND b.k = a.k + 1 JOIN held c ON c.seed = a.seed AND c.k = a.k + 397 WHERE a.k < 100),
+t0 AS (SELECT seed, k, xor(xor(far, u >> 1), (u & 1) * 2567483615::UBIGINT) AS w FROM turned),
+t1 AS (SELECT seed, k, xor(w, w >> 11) AS w FROM t0),
+t2 AS (SELECT seed, k, xor(w, (w << 7) & 2636928640::UBIGINT) AS w FROM t1),
+t3 AS (SELECT seed, k, xor(w, (w << 15) & 4022730752::UBIGINT) AS w FROM t2),
+t4 AS (SELECT seed, k, xor(w, w >> 18) AS w FROM t3),
+sides AS (SELECT seed, min(k) AS skipped, 7 + (arg_min(w, k) >> 29)::INT AS n FROM t4 WHERE (w >> 29) < 6 GROUP BY seed),
+words AS (SELECT seed, list(w ORDER BY k) AS w FROM t4 GROUP BY seed),
+c AS (
+  SELECT s_suppkey, lon, lat, 'a' AS drawing, i, n, skipped + 1 + 4 * i AS o, w FROM p JOIN words USING (seed) JOIN sides USING (seed), range(12) r(i) WHERE i < n
+  UNION ALL SELECT s_suppkey, lon, lat, 'b', i, 10, 4 * i, w FROM p JOIN words USING (seed), range(10) r(i)),
+d AS (SELECT *, ((w[o + 1] >> 5) * 67108864::DOUBLE + (w[o + 2] >> 6)) / 9007199254740992 AS first, ((w[o + 3] >> 5) * 67108864::DOUBLE + (w[o + 4] >> 6)) / 9007199254740992 AS second FROM c),
+e AS (
+  SELECT s_suppkey, drawing, i, lon, lat, 2 * pi() * i / n + CASE drawing WHEN 'a' THEN first * 0.5 - 0.25 ELSE second * 0.6 - 0.3 END AS angle,
+  {deg("0.5", "lat")} * CASE drawing WHEN 'a' THEN 0.7 + second * 0.6 ELSE 0.75 + first * 0.5 END AS far FROM d)
+SELECT s_suppkey, drawing, i::INT AS corner, round(lon + far * cos(angle), 8) AS x, round(lat + far * sin(angle), 8) AS y FROM e"""
+
+
+@query(_TWISTER_SQL)
+def pseudo_boundary_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each corner of both boundaries drawn for each supplier, in the order drawn."""
+    K.register(spark)
+    k, km = F.col("s_suppkey"), F.lit(0.5)
+    lon, lat = 100 + k * 37 % 1000 / 100.0, 20 + k * 53 % 1000 / 100.0
+    both = F.create_map(F.lit("a"), place_boundary(lon, lat, km), F.lit("b"), lookup_boundary(lon, lat, km))
+    rings = table(spark, sf_dir, "supplier").select(k, F.explode(both).alias("drawing", "boundary"))
+    ring = F.from_json(F.get_json_object("boundary", "$.coordinates[0]"), "array<array<double>>")
+    corners = rings.select("s_suppkey", "drawing", F.posexplode(F.slice(ring, 1, F.size(ring) - 1)).alias("corner", "at"))
+    return corners.select("s_suppkey", "drawing", "corner", F.round(F.col("at")[0], 8).alias("x"), F.round(F.col("at")[1], 8).alias("y"))
+
+
 @query(
     """SELECT s_nationkey AS nation, count(*) AS features, sum(s_suppkey)::BIGINT AS ids, sum(length(s_name) + 12)::BIGINT AS letters,
 count(*) FILTER (s_suppkey % 10 <> 0) AS lines, sum(CASE WHEN s_suppkey % 10 <> 0 THEN 1 + s_suppkey % 7 END)::DOUBLE AS length FROM supplier GROUP BY 1"""
