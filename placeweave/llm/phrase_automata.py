@@ -24,7 +24,7 @@ WINDOW, ANCHOR = 35, 10
 #: Bytes of texts that one automaton serves, about.
 PART_BYTES = 4 << 20
 #: Bytes of texts that a task hashes at once; windows whose anchors are sought at once; words that an automaton reads at once.
-BATCH, PIECE, READ = 2 << 20, 1 << 17, 1 << 18
+BATCH, PIECE, READ = 1 << 19, 1 << 14, 1 << 14
 EXACT = byte_values(folded=False)
 
 
@@ -84,7 +84,7 @@ def _row_filter(rows: DataFrame):  # noqa: ANN202
 
 def _asked(batches: Iterator[pa.RecordBatch], shared, there: bool) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     """The rows whose number the filter may have, or all others."""
-    for batch in batches:
+    for batch in text_batches(batches, BATCH):
         yield batch.filter(pa.array(shared.value.may_have(mixed(batch.column(0).to_numpy())) == there))
 
 
@@ -174,14 +174,14 @@ def _kept(rows: list[int], texts: list[bytes], automaton: Automaton) -> pa.Recor
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_batches(batches):
+    for batch in text_batches(batches, BATCH):
         yield _kept(batch.column(0).to_pylist(), raw_texts(batch.column(1)), Automaton())
 
 
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (part, row, words) sorted so that a part's phrases, which have no row, come before its texts."""
     part, automaton = None, Automaton()
-    for batch in text_batches(batches):
+    for batch in text_batches(batches, BATCH):
         rows, texts = [], []
         for mine, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True):
             if mine != part:

@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +78,18 @@ def test_pieces_of_long_texts(monkeypatch):
     monkeypatch.setattr(phrase_automata, "READ", 5)
     assert (phrase_automata._least(grams, 7) == whole).all() and (automaton.covered(words) == covered).all() and covered.sum() >= 48
     assert whole.tolist() == [i + int(np.argmin(grams[i : i + 7])) for i in range(394)]
+
+
+def test_memory_of_a_batch_is_small():
+    """A batch of very frequent short words is hashed, and located, in pieces: a worker's memory doesn't follow the batch."""
+    draw = random.Random(8)
+    text = pa.array([" ".join(draw.choices("abcdefgh", k=1000)) for _ in range(4000)])
+    rows = pa.RecordBatch.from_arrays([pa.array(np.zeros(4000, np.int64)), pa.array(np.arange(4000)), text.cast(pa.binary())], ["part", "row", "words"])
+    for made in (lambda: phrase_automata._anchors(iter([rows.select(["words"])]), W, A), lambda: phrase_automata._located(iter([rows]))):
+        next(made())  # what is made once in a task
+        tracemalloc.start()
+        for batch in made():
+            assert batch.nbytes <= 16 * phrase_automata.BATCH
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 50_000_000, peak
