@@ -2,9 +2,11 @@
 
 import json
 
+from placeweave import storage
 from placeweave.engine import Engine
 from placeweave.functions import kernel as K
 from placeweave.operators import resolve as R
+from placeweave.operators.memo import LookupMemo
 from placeweave.sources.answers import district_answers, geocode_answers, osm_answers
 
 
@@ -54,3 +56,22 @@ def test_an_engine_over_answers(spark, tmp_path):
     assert engine.districts is None and [r.location for r in engine.gazetteer.collect()] == ["1,2"]
     done = engine.evaluate(spark.createDataFrame([("a", "park附近2公里"), ("b", "nowhere附近2公里")], "query_id string, text string"))
     assert {r.query_id: (r.kind, r.status) for r in done.collect()} == {"a": ("Polygon", None), "b": (None, "E2")}
+
+
+def test_more_places_are_dealt_to_more_tasks(spark, tmp_path, monkeypatch):
+    """Look-ups of many places are spread by their number, with the same result, so that no task holds more as tables grow."""
+    n = "concat('p', id)"
+    places = spark.range(300).selectExpr(f"{n} AS name", "'ASIA' AS in_region", "string(null) AS in_country").withColumn("place", R._key())
+    gazetteer = spark.range(300).selectExpr(f"{n} AS address_key", "IF(id % 2 = 0, 'ASIA', null) AS city", "0 AS position", "concat(id, ',1') AS location", "'市' AS level", "'ASIA' AS formatted_address")
+    districts = spark.range(300).selectExpr(f"{n} AS keyword", "0 AS position", f"{n} AS name", "'1' AS adcode", "'city' AS level", "'0,0;1,0;1,1' AS polyline")
+    runs = {
+        "plain": lambda: R.best_candidate(places, gazetteer).select("place", "lon", "lat", "level"),
+        "memo": lambda: R.best_candidate(places, gazetteer, LookupMemo(spark, str(tmp_path / str(len(list(tmp_path.iterdir())))))).select("place", "lon", "lat", "level"),
+        "districts": lambda: R.district_best(places, districts).select("place", "boundary", "level"),
+    }
+    few = {k: sorted(run().collect()) for k, run in runs.items()}
+    monkeypatch.setattr(storage, "TASK_ROWS", 300)
+    for k, run in runs.items():
+        many = run()
+        assert sorted(many.collect()) == few[k] and len(few[k]) == 300, k
+        assert many.rdd.getNumPartitions() > 10, k
