@@ -115,13 +115,33 @@ def places(lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def _longer(w: np.ndarray, before: np.ndarray, depth: int, at: np.ndarray, ctx: np.ndarray, usual: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The tokens ``at`` with the word ``depth`` before them, ``ctx`` of those, and that word; only for ``usual`` words, by their numbers."""
+@dataclass
+class Words:
+    """A set of words: by their numbers, and a filter of those that have none; it may let a few others of the latter pass."""
+
+    numbered: np.ndarray
+    others: Filter
+
+    @staticmethod
+    def of(numbered: np.ndarray, others: DataFrame) -> Words:
+        """``others`` has hashes of the words without a number in the column ``key``."""
+        return Words(numbered, Filter.of(others))
+
+    def may_have(self, w: np.ndarray) -> np.ndarray:
+        there = w < len(self.numbered)
+        rest = ~there
+        there[there] = self.numbered[w[there]]
+        if self.others.bits.any():
+            there[rest] = self.others.may_have(mixed(w[rest]))
+        return there
+
+
+def _longer(w: np.ndarray, before: np.ndarray, depth: int, at: np.ndarray, ctx: np.ndarray, usual: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens ``at`` with the word ``depth`` before them, ``ctx`` of those, and that word; only for ``usual`` words."""
     there = before[at] >= depth
     at, ctx = at[there], ctx[there]
     x = w[at - depth]
-    there = x < len(usual)
-    there[there] = usual[x[there]]
+    there = usual.may_have(x)
     return at[there], ctx[there], x[there]
 
 
@@ -143,7 +163,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], depths: range, usual, states, ofte
             if not mine:
                 continue
             low, x, sym = (np.concatenate(c) for c in zip(*mine, strict=True))
-            small = (sym < FREQUENT) & plain
+            small = (x < FREQUENT) & (sym < FREQUENT) & plain
             code, n = np.unique(x[small] << FREQUENT_BITS | sym[small], return_counts=True)
             low, x, sym = low[~small], x[~small], sym[~small]
             _, at, m = np.unique(mixed(low, x, sym), return_index=True, return_counts=True)
@@ -213,11 +233,15 @@ class Tree:
     A text's score is its base score and, for each of its tokens, the values
     of the keys of its contexts and of its contexts with the token, where the
     tree has them: so the longest suffix that is a state decides. ``first``
-    has those of contexts of one word by its number, and NaN for no state.
+    has those of contexts of one word by its number, and NaN for no state;
+    those of words without a number are among the values. ``usual`` are the
+    words that contexts consist of, ``one`` those that are states.
     """
 
     root: Vocabulary
     words: DataFrame
+    usual: Words
+    one: Words
     first: np.ndarray
     values: Values
     depth: int
@@ -259,8 +283,7 @@ def fit(rows: DataFrame, root: Vocabulary, counts: DataFrame) -> Tree:
     """
     spark = rows.sparkSession
     share = spark.sparkContext.broadcast
-    words, first = share(root.counts >= LEAST_CONTEXT), np.full(len(root.counts), np.nan)
-    kept, often = {}, {}
+    first, kept, often = np.full(len(root.counts), np.nan), {}, {}
 
     def counted(depths: range, seen=None) -> DataFrame:  # noqa: ANN001
         columns = ["x long", "sym long"] if depths[-1] == 1 else ["depth int", "low long", "x long", "sym long"]
@@ -272,6 +295,10 @@ def fit(rows: DataFrame, root: Vocabulary, counts: DataFrame) -> Tree:
         key = _mapped(lambda b: [mixed(*(b.column(i).to_numpy() for i in range(b.num_columns)))], ["key"])
         return share(Filter.of(pairs.filter(F.col("n") >= least).select(*ctx, "sym").mapInArrow(key, "key long")))
 
+    def hashed(rows: DataFrame, word: str) -> DataFrame:
+        """Those words that have no number, hashed once more, since their own hashes have their first bits in common."""
+        return rows.filter(F.col(word) >= FREQUENT).select(word).mapInArrow(_mapped(lambda b: [mixed(b.column(0).to_numpy())], ["key"]), "key long")
+
     def with_count(pairs: DataFrame, key: str, name: str) -> DataFrame:
         """The words' counts: at most FREQUENT are broadcast, and none of the others is common."""
         of = sizes.select(F.col("word").alias(key), F.col("c").alias(name))
@@ -279,14 +306,14 @@ def fit(rows: DataFrame, root: Vocabulary, counts: DataFrame) -> Tree:
         return pairs.filter(numbered).join(F.broadcast(of.filter(numbered)), key).unionByName(pairs.filter(~numbered).join(of.filter(~numbered), key))
 
     def values(depth: int, states: DataFrame, level: DataFrame) -> DataFrame:
-        """The tree's keys and values of one depth, and how often each is used; states of one word have no key."""
+        """The tree's keys and values of one depth, and how often each is used; states of one word with a number have no key."""
 
         def keys(batch: pa.RecordBatch) -> list[np.ndarray]:
             ctx, sym, own, value, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             key = state_key(ctx, depth)
             return [np.where(own, key, mixed(key, sym)), value, n]
 
-        state = states.filter(F.lit(depth > 1)).select("ctx", F.lit(0).cast("long").alias("sym"), F.lit(True).alias("own"), F.log10("factor").alias("value"), F.col("total").cast("long").alias("n"))
+        state = states.filter(F.lit(depth > 1) | (F.col("ctx") >= FREQUENT)).select("ctx", F.lit(0).cast("long").alias("sym"), F.lit(True).alias("own"), F.log10("factor").alias("value"), F.col("total").cast("long").alias("n"))
         next_symbol = level.filter("own").select("ctx", "sym", F.lit(False).alias("own"), F.log10(F.col("q") / F.col("p") / F.col("factor")).alias("value"), "n")
         return saved(state.unionByName(next_symbol).mapInArrow(_mapped(keys, ["key", "value", "n"]), "key long, value double, n long"))
 
@@ -302,17 +329,20 @@ def fit(rows: DataFrame, root: Vocabulary, counts: DataFrame) -> Tree:
     shared = share(root)
     numbers = lambda b: [np.where((i := shared.value.ids(h := b.column(0).to_numpy())) < 0, h, i), b.column(1).to_numpy()]
     sizes = saved(counts.filter(F.col("c") >= LEAST_NEXT).mapInArrow(_mapped(numbers, ["word", "c"]), "word long, c long"))
+    usual = Words.of(root.counts >= LEAST_CONTEXT, hashed(sizes.filter(F.col("c") >= LEAST_CONTEXT), "word"))
+    one, words = Words.of(~np.isnan(first), hashed(sizes.limit(0), "word")), share(usual)
     pairs = saved(counted(range(1, 2)).filter(F.col("n") >= LEAST_NEXT).withColumns({"low": F.lit(NONE).cast("long"), "depth": F.lit(1)}))
-    level = leveled(with_count(with_count(pairs, "x", "total"), "sym", "c").withColumn("p", (F.col("c") + ADD) / root.floor))
+    level = leveled(with_count(with_count(pairs, "x", "total").filter(F.col("total") >= LEAST_CONTEXT), "sym", "c").withColumn("p", (F.col("c") + ADD) / root.floor))
     depth, last, model = 1, 1, []
     while True:
         states, told = _states(level)
         if states.isEmpty():
             break
         if depth == 1:
-            one = states.select("ctx", F.log10("factor").alias("value")).toArrow()  # at most FREQUENT
-            first[one["ctx"].to_numpy()] = one["value"].to_numpy()
-            kept[1] = share(~np.isnan(first))
+            found = states.filter(F.col("ctx") < FREQUENT).select("ctx", F.log10("factor").alias("value")).toArrow()  # at most FREQUENT
+            first[found["ctx"].to_numpy()] = found["value"].to_numpy()
+            one = Words.of(~np.isnan(first), hashed(states, "ctx"))
+            kept[1] = share(one)
         else:
             kept[depth] = share(Filter.of(states.withColumnRenamed("ctx", "key")))
         model.append(values(depth, states, told))
@@ -333,25 +363,24 @@ def fit(rows: DataFrame, root: Vocabulary, counts: DataFrame) -> Tree:
         dropped(*used)
         tidied(spark)
     whole = reduce(DataFrame.unionByName, model) if model else saved(spark.createDataFrame([], "key long, value double, n long"))
-    return Tree(root, counts, first, Values.of(whole, HOT, USED), depth - 1)
+    return Tree(root, counts, usual, one, first, Values.of(whole, HOT, USED), depth - 1)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     """A row for each text with what tasks know of it, under a key of its own, and rows for its other words and keys."""
-    counts, total, first_values, held, deepest = shared.value
-    usual, one = counts >= LEAST_CONTEXT, ~np.isnan(first_values)
-    first_keys = state_key(np.arange(len(counts)), 1)
+    counts, total, usual, one, first_values, held, deepest = shared.value
     floor = np.log10(total) if total else 0.0
     for batch in batches:
         for first, stop, w, lengths in _sequences(batch):
             rows, text_of = batch.column(0).to_numpy()[first:stop], np.repeat(np.arange(stop - first), lengths)
-            known = w < FREQUENT
+            known = w < len(counts)
             base, more, rest = np.full(len(w), -floor), np.zeros(len(w)), []
             base[known] += np.log10(counts[w[known]] + ADD)
             before = places(lengths)
             at, _, ctx = _longer(w, before, 1, np.arange(len(w)), w, one)
-            more[at] += first_values[ctx]
-            rest.append(held.add(mixed(first_keys[ctx], w[at]), at, more))
+            numbered, key = ctx < len(counts), state_key(ctx, 1)
+            more[at[numbered]] += first_values[ctx[numbered]]
+            rest += [held.add(key[~numbered], at[~numbered], more), held.add(mixed(key, w[at]), at, more)]
             for depth in range(2, deepest + 1):
                 at, ctx, x = _longer(w, before, depth, at, ctx, usual)
                 ctx = mixed(ctx, x)
@@ -380,7 +409,7 @@ def score(rows: DataFrame, tree: Tree) -> DataFrame:
     values by a join; by the way the others are chosen none of them is
     common. An empty table gives no rows.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((tree.root.counts, tree.root.floor, tree.first, tree.values.sent, tree.depth))
+    shared = rows.sparkSession.sparkContext.broadcast((tree.root.counts, tree.root.floor, tree.usual, tree.one, tree.first, tree.values.sent, tree.depth))
     asked = rows.select("row", "ids", "rare").mapInArrow(lambda b: _scored(b, shared), "row long, key long, kind int, n long, known long, base double, more double")
     words = tree.words.select(F.col("h").alias("key"), F.lit(WORD).alias("kind"), F.col("c").cast("double").alias("value"))
     found = asked.join(words.unionByName(tree.values.rest.select("key", F.lit(VALUE).alias("kind"), "value")).hint("shuffle_hash"), ["key", "kind"], "left")

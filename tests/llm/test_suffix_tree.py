@@ -106,6 +106,18 @@ def test_joins_equal_broadcasts(spark, monkeypatch):
         assert sorted(got) == sorted(texts)
 
 
+@pytest.mark.parametrize("frequent", [4, 16])
+def test_words_without_numbers_are_contexts_too(spark, monkeypatch, frequent):
+    """However few words have numbers, the tree is the same."""
+    texts = corpus(8)
+    want, factor = plain([t for i, t in texts.items() if i % 5], texts)
+    monkeypatch.setattr(suffix_tree, "FREQUENT", frequent)
+    monkeypatch.setattr(suffix_tree, "FREQUENT_BITS", frequent.bit_length() - 1)
+    tree, got = scored(saved(spark.createDataFrame(list(texts.items()), SCHEMA)), "row % 5 <> 0")
+    assert len(tree.root.counts) <= frequent < len([ctx for ctx in factor if len(ctx) == 1]) and tree.depth == max(map(len, factor))
+    assert {i: r.score for i, r in got.items()} == pytest.approx(want)
+
+
 def test_a_task_of_many_sequences_and_batches(spark):
     """A text has the same score wherever a task reads it: over a fourfold of TOKENS, and over more rows than a record batch has."""
     texts, copies = corpus(), 30
