@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +44,29 @@ def mixed(*parts: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers as planes of bytes, so that small numbers cost little."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns), 1)
+
+
+def unpacked(data: Iterable[bytes], columns: int) -> list[np.ndarray]:
+    """The columns of all ``data``, one after the other."""
+    planes = np.concatenate([np.zeros((columns, 8, 0), np.uint8), *[np.frombuffer(zstandard.decompress(x), np.uint8).reshape(columns, 8, -1) for x in data]], axis=2)
+    return [np.ascontiguousarray(p.T).reshape(-1).view(np.int64) for p in planes]
+
+
+def edges(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers starts."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+
+
+def dealt(key: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(part, packed columns) by the first bits of the keys, which are in order, unsigned; ``parts`` is a power of two over 1."""
+    part = key.view(np.uint64) >> np.uint64(65 - parts.bit_length())
+    for a, b in pairwise([*edges(part).tolist(), len(part)]):
+        yield int(part[a]), packed(*(c[a:b] for c in columns))
+
+
 #: Bytes that are hashed at once; a longer word makes it more.
 WINDOW = 1 << 20
 _BASE = 0xD1342543DE82EF95

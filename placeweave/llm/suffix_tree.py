@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import count_threshold, dropped, held_out, raw_texts, saved, table, text_batches, tidied
-from .hashed import Filter, Index, Values, mixed, word_hashes
+from .hashed import Filter, Index, Values, dealt, edges, mixed, unpacked, word_hashes
 
 #: Ends each text; no word has a line feed.
 END = b"\n"
@@ -24,6 +26,8 @@ FREQUENT = 1 << FREQUENT_BITS
 USED, HOT = 16, 1 << 21
 #: Bytes of texts that a task splits into words at once; tokens that it reads at once; contexts that it counts before it passes them on.
 BATCH, TOKENS, HELD = 1 << 17, 1 << 17, 2_000_000
+#: Counts meet in as many parts as there are so many tokens, in LEAST_PARTS at least.
+PART, LEAST_PARTS = 1 << 20, 64
 #: Contexts that occur less often are no states, and next symbols counted less often are left to the shorter context.
 LEAST_CONTEXT, LEAST_NEXT = 50, 3
 #: Lengths of contexts that are counted one a pass; each later pass counts as many as there were before.
@@ -145,9 +149,16 @@ def _longer(w: np.ndarray, before: np.ndarray, depth: int, at: np.ndarray, ctx:
     return at[there], ctx[there], x[there]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], depths: range, usual, states, often, seen) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    """Counts of (depth, low, x, sym), merged in batches of bounded size: the symbol ``sym`` after the context ``low`` with the word ``x`` before it.
+#: An odd number and its inverse modulo 2 ** 64: products differ as the factors do, and their first bits are spread.
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
+
+def _pairs(batches: Iterator[pa.RecordBatch], depths: range, parts: int, usual, states, often, seen) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """Counts of the symbol ``sym`` after the context ``low`` with the word ``x`` before it, merged in batches of bounded size.
+
+    They are packed, (low, x, sym, n) or for contexts of one word (x, sym, n),
+    in a row for each depth and each of ``parts`` that pairs are dealt to.
     Only ``states`` of each length, as far as they are known, are made longer
     (those of one word by number). What is known to be too rare is left
     out: contexts that aren't in ``often`` of their length, and pairs whose
@@ -155,21 +166,26 @@ def _pairs(batches: Iterator[pa.RecordBatch], depths: range, usual, states, ofte
     """
     held: list[tuple] = []
     plain = depths[-1] == 1
-    names = ["x", "sym", "n"] if plain else ["depth", "low", "x", "sym", "n"]
 
     def flush() -> Iterator[pa.RecordBatch]:
+        rows = []
         for d in depths:
             mine = [c[1:] for c in held if c[0] == d]
             if not mine:
                 continue
             low, x, sym = (np.concatenate(c) for c in zip(*mine, strict=True))
-            small = (x < FREQUENT) & (sym < FREQUENT) & plain
-            code, n = np.unique(x[small] << FREQUENT_BITS | sym[small], return_counts=True)
-            low, x, sym = low[~small], x[~small], sym[~small]
-            _, at, m = np.unique(mixed(low, x, sym), return_index=True, return_counts=True)
-            columns = [(code >> FREQUENT_BITS, x[at]), (code & (FREQUENT - 1), sym[at]), (n, m)] if plain else [(np.full(len(at), d, np.int32),), (low[at],), (x[at],), (sym[at],), (m,)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names)
+            if plain:
+                small = (x < FREQUENT) & (sym < FREQUENT)
+                code, n = np.unique((x[small] << FREQUENT_BITS | sym[small]).view(np.uint64) * _ODD, return_counts=True)
+                pair = (code * _BACK).view(np.int64)
+                rows += [(d, *r) for r in dealt(code, parts, pair >> FREQUENT_BITS, pair & (FREQUENT - 1), n)]
+                x, sym = x[~small], sym[~small]
+            key, at, n = np.unique((mixed(x, sym) if plain else mixed(low, x, sym)).view(np.uint64), return_index=True, return_counts=True)
+            columns = (x[at], sym[at], n) if plain else (low[at], x[at], sym[at], n)
+            rows += [(d, *r) for r in dealt(key, parts, *columns)]
         held.clear()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["depth", "part", "data"])
 
     words, known, enough, last = usual.value, {k: f.value for k, f in states.items()}, {k: f.value for k, f in often.items()}, seen and seen.value
     for batch in batches:
@@ -202,6 +218,20 @@ def _pairs(batches: Iterator[pa.RecordBatch], depths: range, usual, states, ofte
     yield from flush()
 
 
+def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(depth, low, x, sym, n) of packed counts that come by depth and part: each pair once, with the sum of its counts, if that is ``least``."""
+    rows = ((d, p, x) for b in batches for d, p, x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for (d, _), data in groupby(rows, itemgetter(0, 1)):
+        *pair, n = unpacked((x[2] for x in data), 3 if d == 1 else 4)
+        key = mixed(*pair)
+        order = np.argsort(key)
+        start = edges(key[order])
+        n = np.add.reduceat(n[order], start)
+        at, n = order[start[n >= least]], n[n >= least]
+        low = [np.full(len(at), NONE)] if d == 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d, np.int32)), *[pa.array(c) for c in (*low, *[c[at] for c in pair], n)]], ["depth", "low", "x", "sym", "n"])
+
+
 def _mapped(make: Callable[[pa.RecordBatch], list[np.ndarray]], names: list[str]):  # noqa: ANN202
     """A function for mapInArrow that makes columns of numbers from each batch."""
     return lambda batches: (pa.RecordBatch.from_arrays([pa.array(x) for x in make(b)], names) for b in batches if b.num_rows)
@@ -284,11 +314,12 @@ def fit(rows: DataFrame, root: Vocabulary, counts: DataFrame) -> Tree:
     spark = rows.sparkSession
     share = spark.sparkContext.broadcast
     first, kept, often = np.full(len(root.counts), np.nan), {}, {}
+    parts = 1 << max(LEAST_PARTS, root.total // PART).bit_length() - 1
 
-    def counted(depths: range, seen=None) -> DataFrame:  # noqa: ANN001
-        columns = ["x long", "sym long"] if depths[-1] == 1 else ["depth int", "low long", "x long", "sym long"]
-        found = rows.select("ids", "rare").mapInArrow(lambda b: _pairs(b, depths, words, kept, often, seen), ", ".join([*columns, "n long"]))
-        return found.groupBy(*[c.split()[0] for c in columns]).agg(F.sum("n").alias("n"))
+    def counted(depths: range, least: int, seen=None) -> DataFrame:  # noqa: ANN001
+        found = rows.select("ids", "rare").mapInArrow(lambda b: _pairs(b, depths, parts, words, kept, often, seen), "depth int, part int, data binary")
+        met = found.repartition("depth", "part").sortWithinPartitions("depth", "part")
+        return saved(met.mapInArrow(lambda b: _summed(b, least), "depth int, low long, x long, sym long, n long"))
 
     def ends(pairs: DataFrame, least: int, *ctx: str):  # noqa: ANN202
         """A filter of the pairs of contexts and symbols that occur ``least`` times."""
@@ -331,7 +362,7 @@ def fit(rows: DataFrame, root: Vocabulary, counts: DataFrame) -> Tree:
     sizes = saved(counts.filter(F.col("c") >= LEAST_NEXT).mapInArrow(_mapped(numbers, ["word", "c"]), "word long, c long"))
     usual = Words.of(root.counts >= LEAST_CONTEXT, hashed(sizes.filter(F.col("c") >= LEAST_CONTEXT), "word"))
     one, words = Words.of(~np.isnan(first), hashed(sizes.limit(0), "word")), share(usual)
-    pairs = saved(counted(range(1, 2)).filter(F.col("n") >= LEAST_NEXT).withColumns({"low": F.lit(NONE).cast("long"), "depth": F.lit(1)}))
+    pairs = counted(range(1, 2), LEAST_NEXT)
     level = leveled(with_count(with_count(pairs, "x", "total").filter(F.col("total") >= LEAST_CONTEXT), "sym", "c").withColumn("p", (F.col("c") + ADD) / root.floor))
     depth, last, model = 1, 1, []
     while True:
@@ -351,7 +382,7 @@ def fit(rows: DataFrame, root: Vocabulary, counts: DataFrame) -> Tree:
         if depth > last:
             often[depth - 1] = ends(level, LEAST_CONTEXT, "ctx")
             last = depth if depth <= SINGLE else 2 * depth - 2
-            pairs = saved(counted(range(depth, last + 1), ends(level, LEAST_NEXT, "ctx") if depth == 2 else None))
+            pairs = counted(range(depth, last + 1), 1) if depth > 2 else counted(range(2, 3), LEAST_NEXT, ends(level, LEAST_NEXT, "ctx"))
             used.append(before)
         mine = pairs.filter(F.col("depth") == depth).join(states.select(F.col("ctx").alias("low")), "low", "left_semi")
         if depth == 2:  # the pairs that couldn't have an entry are missing, but their contexts were counted as pairs

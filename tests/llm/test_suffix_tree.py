@@ -3,8 +3,10 @@
 import math
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +162,31 @@ def test_repeated_and_null_ids(spark, tmp_path):
     assert not any(r.held_out for r in got if r.doc_id is None)
 
 
+def test_counts_meet_packed():
+    """A task passes on a row for each part, not for each pair, and each pair's counts come together."""
+    draw, names, parts = np.random.default_rng(4), np.concatenate([np.arange(3000), (1 << 61) + 4 * np.arange(3000)]), 8
+    words = suffix_tree.Words(np.ones(3000, bool), hashed.Filter(np.full(16, ~np.uint64(0))))
+    shared = lambda x: SimpleNamespace(value=x)
+    rows, want = [], {1: Counter(), 2: Counter()}
+    for _ in range(3):
+        w = names[(6000 * draw.random(20_000) ** 4).astype(int)]
+        batch = pa.RecordBatch.from_arrays([pa.array([np.where(w < 3000, w, -1).astype(np.int32).tobytes()]), pa.array([w[w >= 3000].tobytes()])], ["ids", "rare"])
+        for d in want:
+            want[d].update(zip(*(w[k : len(w) - d + k].tolist() for k in range(d + 1)), strict=True))
+            every = shared(words.others)
+            got = list(suffix_tree._pairs(iter([batch]), range(d, d + 1), parts, shared(words), {1: shared(words)}, {1: every}, every))
+            assert sum(b.num_rows for b in got) <= 2 * parts
+            rows += [tuple(r.values()) for b in got for r in b.to_pylist()]
+    rows.sort(key=lambda r: r[:2])
+    columns = [pa.array(c) for c in zip(*rows, strict=True)]
+    halves = [pa.RecordBatch.from_arrays([c[a:b] for c in columns], ["depth", "part", "data"]) for a, b in ((0, 17), (17, len(rows)))]
+    for least in (1, 3):
+        summed = [r for b in suffix_tree._summed(iter(halves), least) for r in b.to_pylist()]
+        found = {1: {(r["x"], r["sym"]): r["n"] for r in summed if r["depth"] == 1}, 2: {(r["x"], r["low"], r["sym"]): r["n"] for r in summed if r["depth"] == 2}}
+        assert len(summed) == sum(map(len, found.values()))
+        assert found == {d: {k: n for k, n in c.items() if n >= least} for d, c in want.items()}
+
+
 def test_word_hashes_tell_tokens_apart():
     some = [b"", b"a", b"A b", b"ab", b"a\tb ", b" a b", b"\x00 a\x00", "\u00c4 \u4e2d".encode(), b"a" * 5000]
     h, n = hashed.word_hashes(some)
