@@ -26,8 +26,8 @@ FREQUENT = 1 << FREQUENT_BITS
 USED, HOT = 16, 1 << 21
 #: Bytes of texts that a task splits into words at once; tokens that it reads at once; contexts that it counts before it passes them on.
 BATCH, TOKENS, HELD = 1 << 17, 1 << 17, 2_000_000
-#: Counts meet in as many parts as there are so many tokens, in LEAST_PARTS at least.
-PART, LEAST_PARTS = 1 << 20, 64
+#: Counts meet in as many parts as there are so many tokens, in LEAST_PARTS at least; a task has about TOGETHER of them, where that makes more tasks than Spark's setting.
+PART, LEAST_PARTS, TOGETHER = 1 << 20, 64, 4
 #: Contexts that occur less often are no states, and next symbols counted less often are left to the shorter context.
 LEAST_CONTEXT, LEAST_NEXT = 50, 3
 #: Lengths of contexts that are counted one a pass; each later pass counts as many as there were before.
@@ -315,10 +315,11 @@ def fit(rows: DataFrame, root: Vocabulary, counts: DataFrame) -> Tree:
     share = spark.sparkContext.broadcast
     first, kept, often = np.full(len(root.counts), np.nan), {}, {}
     parts = 1 << max(LEAST_PARTS, root.total // PART).bit_length() - 1
+    tasks = [parts // TOGETHER] if parts // TOGETHER > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
 
     def counted(depths: range, least: int, seen=None) -> DataFrame:  # noqa: ANN001
         found = rows.select("ids", "rare").mapInArrow(lambda b: _pairs(b, depths, parts, words, kept, often, seen), "depth int, part int, data binary")
-        met = found.repartition("depth", "part").sortWithinPartitions("depth", "part")
+        met = found.repartition(*tasks, "depth", "part").sortWithinPartitions("depth", "part")
         return saved(met.mapInArrow(lambda b: _summed(b, least), "depth int, low long, x long, sym long, n long"))
 
     def ends(pairs: DataFrame, least: int, *ctx: str):  # noqa: ANN202
