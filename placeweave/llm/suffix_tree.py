@@ -26,7 +26,7 @@ FREQUENT = 1 << FREQUENT_BITS
 USED, HOT = 16, 1 << 21
 #: Bytes of texts that a task splits into words at once; tokens that it reads at once; contexts that it counts before it passes them on.
 BATCH, TOKENS, HELD = 1 << 17, 1 << 17, 2_000_000
-#: Counts meet in as many parts as there are so many tokens, in LEAST_PARTS at least; a task has about TOGETHER of them, where that makes more tasks than Spark's setting.
+#: Counts meet in as many parts as there are so many tokens, down to a power of two, in LEAST_PARTS at least; a task has about TOGETHER of them, where that makes more tasks than Spark's setting.
 PART, LEAST_PARTS, TOGETHER = 1 << 20, 64, 4
 #: Contexts that occur less often are no states, and next symbols counted less often are left to the shorter context.
 LEAST_CONTEXT, LEAST_NEXT = 50, 3
