@@ -9,6 +9,7 @@ anchor make a segment; equal segments make a kind.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import dropped, join_hot, raw_texts, saved, table, text_batches, tidied
-from .hashed import Filter, byte_values, mixed, plain_hashes, run_hashes
+from .hashed import Filter, Index, byte_values, mixed, plain_hashes, run_hashes
 
 #: Words of a window, and of the phrases that anchors are drawn from.
 WINDOW, ANCHOR = 35, 10
@@ -25,6 +26,8 @@ WINDOW, ANCHOR = 35, 10
 PART_BYTES = 4 << 20
 #: Bytes of texts that a task hashes at once; windows whose anchors are sought at once; words that an automaton reads at once.
 BATCH, PIECE, READ = 1 << 19, 1 << 14, 1 << 14
+#: First words of a phrase by which an automaton finds where to read; shorter phrases have fewer.
+HEAD = 8
 EXACT = byte_values(folded=False)
 
 
@@ -96,18 +99,20 @@ def _only(docs: DataFrame, shared, there: bool) -> DataFrame:  # noqa: ANN001
 def _phrases(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """The words of each asked segment, and its windows' hashes where those are asked for."""
     names = ["anchor", "kind", "n", "words", "windows"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
     for batch in text_batches(batches, BATCH):
-        out: list[list] = [[] for _ in names]
-        for text, asked in zip(raw_texts(batch.column(0)), batch.column(1), strict=True):
+        asked = batch.column(1).flatten()
+        start, size, apart = (asked.field(x).to_pylist() for x in ("start", "size", "apart"))
+        phrases, hashes, at = [], [], 0
+        for text, count in zip(raw_texts(batch.column(0)), batch.column(1).value_lengths().to_pylist(), strict=True):
             words, windows = text.split(), None
-            for s in asked.as_py():
-                a, b = s["start"], s["start"] + s["size"]
-                if s["apart"] and windows is None:
+            for a, n, alone in zip(start[at : at + count], size[at : at + count], apart[at : at + count], strict=True):
+                if alone and windows is None:
                     windows = run_hashes(plain_hashes([text], EXACT)[0], window)
-                for column, value in zip(out, (s["anchor"], s["kind"], s["n"], b" ".join(words[a : b + window - 1]), windows[a:b].tolist() if s["apart"] else None), strict=True):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+                phrases.append(b" ".join(words[a : a + n + window - 1]))
+                hashes.append(windows[a : a + n].tolist() if alone else None)
+            at += count
+        out = [*map(asked.field, names[:3]), pa.array(phrases, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(out, names)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -123,37 +128,71 @@ def _runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
 
 
 class Automaton:
-    """Seeks phrases, word by word, in texts; words of no phrase have the number 0."""
+    """Seeks phrases, word by word, in texts; words of no phrase have the number 0.
+
+    It reads on from each place where the first words of a phrase are, as far
+    as the longest phrase that begins with them; of other words none is in an
+    occurrence, and at its root it would compare each with all first words.
+    """
 
     def __init__(self) -> None:
         self.numbers: dict[bytes, int] = {}
         self.longest = 0
         self._found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        self._ready = False
+        self._sizes: list[int] = []
+        self._firsts: list[tuple[int, ...]] = []
+        self._head = 0
 
     def add(self, phrase: bytes) -> None:
         words = phrase.split()
         if words:
             numbers = self.numbers
-            self._found.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in words]), len(words))
+            phrase_numbers = tuple([numbers.setdefault(w, len(numbers) + 1) for w in words])
+            self._found.add_word(phrase_numbers, len(words))
             self.longest = max(self.longest, len(words))
+            self._sizes.append(len(words))
+            self._firsts.append(phrase_numbers[:HEAD])
+            self._head = 0
+
+    def _make(self) -> None:
+        """The automaton, and of each head, the first words of phrases, how many words its longest phrase has."""
+        self._found.make_automaton()
+        self._head = min(map(len, self._firsts))
+        firsts = np.array([n for first in self._firsts for n in first[: self._head]], np.int64)
+        heads, of = np.unique(run_hashes(mixed(firsts), self._head)[:: self._head].view(np.uint64), return_inverse=True)
+        self._heads, self._reach = Index(heads.view(np.int64)), np.zeros(len(heads), np.int64)
+        np.maximum.at(self._reach, of, self._sizes)
+
+    def _stretches(self, numbers: np.ndarray) -> list[list[int]]:
+        """From where to where phrases may be."""
+        begins, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(numbers), READ):
+            place = self._heads.places(run_hashes(mixed(numbers[at : at + READ + self._head - 1]), self._head))
+            here = np.flatnonzero(place >= 0)
+            begins.append(here + at)
+            ends.append(here + at + self._reach[place[here]])
+        begin, end = np.concatenate(begins), np.maximum.accumulate(np.concatenate(ends))
+        if not len(begin):
+            return []
+        cut = np.flatnonzero(begin[1:] > end[:-1])
+        return np.stack([begin[np.append(0, cut + 1)], np.minimum(end[np.append(cut, len(end) - 1)], len(numbers))], 1).tolist()
 
     def covered(self, words: list[bytes]) -> np.ndarray:
         """Which words an occurrence of a phrase covers."""
         edges = np.zeros(len(words) + 1, np.int64)
         if self.longest:
-            if not self._ready:
-                self._found.make_automaton()
-                self._ready = True
-            get = self.numbers.get
-            for at in range(0, len(words), READ):  # each piece begins with what an occurrence that ends in it may need
-                first = max(0, at - self.longest + 1)
-                hits = list(self._found.iter(tuple([get(w, 0) for w in words[first : at + READ]])))
-                if hits:
-                    last, size = np.array(hits, np.int64).T
-                    last += first + 1
-                    np.add.at(edges, last - size, 1)
-                    np.add.at(edges, last, -1)
+            if not self._head:
+                self._make()
+            numbers = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words))
+            for begin, end in self._stretches(numbers):
+                for at in range(begin, end, READ):  # each piece begins with what an occurrence that ends in it may need
+                    first = max(begin, at - self.longest + 1)
+                    hits = list(self._found.iter(tuple(numbers[first : min(at + READ, end)].tolist())))
+                    if hits:
+                        last, size = np.array(hits, np.int64).T
+                        last += first + 1
+                        np.add.at(edges, last - size, 1)
+                        np.add.at(edges, last, -1)
         return np.cumsum(edges[:-1]) > 0
 
 
@@ -162,13 +201,17 @@ _KEPT = "row long, n_words long, spans array<struct<start:int,stop:int>>, kept b
 
 def _kept(rows: list[int], texts: list[bytes], automaton: Automaton) -> pa.RecordBatch:
     n, spans, kept = [], [], []
-    for text in texts:
-        words = text.split()
-        gone = automaton.covered(words)
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    split = [text.split() for text in texts]
+    gone = automaton.covered([w for words in split for w in (*words, b"")]) if automaton.longest else None  # no phrase goes on over an empty word
+    first = 0
+    for words in split:
+        edges: list[int] = []
+        if gone is not None:
+            edges = np.flatnonzero(np.diff(gone[first : first + len(words)].astype(np.int8), prepend=0, append=0)).tolist()
+            first += len(words) + 1
         n.append(len(words))
-        spans.append([{"start": a, "stop": b} for a, b in edges.reshape(-1, 2).tolist()])
-        kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if len(edges) else b" ".join(words))
+        spans.append([{"start": a, "stop": b} for a, b in zip(edges[::2], edges[1::2], strict=True)])
+        kept.append(b" ".join([w for a, b in zip([0, *edges[1::2]], [*edges[::2], len(words)], strict=True) for w in words[a:b]] if edges else words))
     types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((rows, n, spans, kept), types, strict=True)], ["row", "n_words", "spans", "kept"])
 

@@ -80,6 +80,39 @@ def test_pieces_of_long_texts(monkeypatch):
     assert whole.tolist() == [i + int(np.argmin(grams[i : i + 7])) for i in range(394)]
 
 
+def test_an_automaton_reads_only_where_phrases_may_be():
+    """Words that no phrase's first words lead to are not read; what is found is the same, over phrases of any length and the ends of texts."""
+    draw = random.Random(3)
+    words = [b"w%d" % draw.randrange(50) for _ in range(20_000)]
+    phrases = [words[at : at + n] for at, n in ((0, 40), (700, 35), (700, 60), (9_000, 40), (9_010, 44), (19_960, 40))]
+    phrases += [phrase[:20] + [b"w1", b"w2"] * 10 for phrase in phrases]
+    for extra in ([], [words[5_000:5_003]]):  # with a phrase of fewer words than a head, too
+        automaton, read = phrase_automata.Automaton(), 0
+
+        class Counted:
+            def __init__(self, found):
+                self.add_word, self.make_automaton, self.found = found.add_word, found.make_automaton, found
+
+            def iter(self, numbers):
+                nonlocal read
+                read += len(numbers)
+                return self.found.iter(numbers)
+
+        automaton._found = Counted(automaton._found)
+        for phrase in [*phrases, *extra]:
+            automaton.add(b" ".join(phrase))
+        gone = np.zeros(len(words), bool)
+        for phrase in [*phrases, *extra]:
+            for at in range(len(words) - len(phrase) + 1):
+                if words[at : at + len(phrase)] == phrase:
+                    gone[at : at + len(phrase)] = True
+        assert (automaton.covered(words) == gone).all()
+        assert read < 2_000
+    texts = [b" ".join(words[a:b]) for a, b in ((700, 720), (720, 760), (690, 770), (0, 0), (0, 41))]
+    spans = [[(s["start"], s["stop"]) for s in found] for found in phrase_automata._kept([*range(5)], texts, automaton).column("spans").to_pylist()]
+    assert spans == [[], [], [(10, 70)], [], [(0, 40)]]
+
+
 def test_memory_of_a_batch_is_small():
     """A batch of very frequent short words is hashed, and located, in pieces: a worker's memory doesn't follow the batch."""
     draw = random.Random(8)
