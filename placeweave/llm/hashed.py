@@ -83,11 +83,11 @@ def _up_and_down(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _hashes(data: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(data: np.ndarray, values: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Where each word starts, and its hash; ``data`` ends with a separator."""
     starts, found, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     while at < len(data):
-        size, value = WINDOW, None
+        size, value = window, None
         while value is None:
             value = values[data[at : at + size]]
             if at + size < len(data):
@@ -114,9 +114,9 @@ def word_hashes(texts: list[bytes], values: np.ndarray = WHITE_SPACE) -> tuple[n
     return (seq >> np.uint64(2) | np.uint64(1 << 61)).view(np.int64), np.bincount(text_of, minlength=len(texts)) + 1
 
 
-def plain_hashes(texts: list[bytes], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def plain_hashes(texts: list[bytes], values: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, one after the other, and the number of words of each."""
-    start, found = _hashes(np.frombuffer(b"\n".join([*texts, b""]), np.uint8), values)
+    start, found = _hashes(np.frombuffer(b"\n".join([*texts, b""]), np.uint8), values, window)
     text_of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
     return found, np.bincount(text_of, minlength=len(texts))
 

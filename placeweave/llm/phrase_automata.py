@@ -8,8 +8,9 @@ anchor make a segment; equal segments make a kind.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import count, repeat
 
 import ahocorasick
 import numpy as np
@@ -28,6 +29,8 @@ PART_BYTES = 4 << 20
 BATCH, PIECE, READ = 1 << 19, 1 << 14, 1 << 14
 #: First words of a phrase by which an automaton finds where to read; shorter phrases have fewer.
 HEAD = 8
+#: Bytes whose words are hashed in one step, few enough for a processor's cache.
+AT_ONCE = 1 << 15
 EXACT = byte_values(folded=False)
 
 
@@ -58,14 +61,14 @@ def _segments(words: np.ndarray, lengths: np.ndarray, window: int, anchor: int)
 
 def _anchors(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
     for batch in text_batches(batches, BATCH):
-        key, n = np.unique(_segments(*plain_hashes(raw_texts(batch.column(0)), EXACT), window, anchor)[3], return_counts=True)
+        key, n = np.unique(_segments(*plain_hashes(raw_texts(batch.column(0)), EXACT, AT_ONCE), window, anchor)[3], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch], window: int, anchor: int, shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     recurring = shared.value
     for batch in text_batches(batches, BATCH):
-        of, start, size, anchors, kind = _segments(*plain_hashes(raw_texts(batch.column(1)), EXACT), window, anchor)
+        of, start, size, anchors, kind = _segments(*plain_hashes(raw_texts(batch.column(1)), EXACT, AT_ONCE), window, anchor)
         keep = recurring.may_have(anchors)
         row = batch.column(0).to_numpy()[of[keep]]
         columns = [row, start[keep].astype(np.int32), size[keep].astype(np.int32), anchors[keep], kind[keep]]
@@ -107,7 +110,7 @@ def _phrases(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             words, windows = text.split(), None
             for a, n, alone in zip(start[at : at + count], size[at : at + count], apart[at : at + count], strict=True):
                 if alone and windows is None:
-                    windows = run_hashes(plain_hashes([text], EXACT)[0], window)
+                    windows = run_hashes(plain_hashes([text], EXACT, AT_ONCE)[0], window)
                 phrases.append(b" ".join(words[a : a + n + window - 1]))
                 hashes.append(windows[a : a + n].tolist() if alone else None)
             at += count
@@ -136,7 +139,7 @@ class Automaton:
     """
 
     def __init__(self) -> None:
-        self.numbers: dict[bytes, int] = {}
+        self.numbers: dict[bytes, int] = defaultdict(count(1).__next__)
         self.longest = 0
         self._found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         self._sizes: list[int] = []
@@ -146,8 +149,7 @@ class Automaton:
     def add(self, phrase: bytes) -> None:
         words = phrase.split()
         if words:
-            numbers = self.numbers
-            phrase_numbers = tuple([numbers.setdefault(w, len(numbers) + 1) for w in words])
+            phrase_numbers = tuple(map(self.numbers.__getitem__, words))
             self._found.add_word(phrase_numbers, len(words))
             self.longest = max(self.longest, len(words))
             self._sizes.append(len(words))
@@ -202,16 +204,18 @@ _KEPT = "row long, n_words long, spans array<struct<start:int,stop:int>>, kept b
 def _kept(rows: list[int], texts: list[bytes], automaton: Automaton) -> pa.RecordBatch:
     n, spans, kept = [], [], []
     split = [text.split() for text in texts]
-    gone = automaton.covered([w for words in split for w in (*words, b"")]) if automaton.longest else None  # no phrase goes on over an empty word
-    first = 0
-    for words in split:
-        edges: list[int] = []
-        if gone is not None:
-            edges = np.flatnonzero(np.diff(gone[first : first + len(words)].astype(np.int8), prepend=0, append=0)).tolist()
-            first += len(words) + 1
+    if automaton.longest:
+        gone = automaton.covered([w for words in split for w in (*words, b"")])  # no phrase goes on over an empty word
+        first = np.cumsum([0, *[len(words) + 1 for words in split]])
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], gone]).view(np.int8)))
+        cut = np.searchsorted(edges, first)
+        own = [(edges[a:b] - at).tolist() for a, b, at in zip(cut[:-1].tolist(), cut[1:].tolist(), first.tolist(), strict=False)]
+    else:
+        own = [[]] * len(split)
+    for words, ends in zip(split, own, strict=True):
         n.append(len(words))
-        spans.append([{"start": a, "stop": b} for a, b in zip(edges[::2], edges[1::2], strict=True)])
-        kept.append(b" ".join([w for a, b in zip([0, *edges[1::2]], [*edges[::2], len(words)], strict=True) for w in words[a:b]] if edges else words))
+        spans.append([{"start": a, "stop": b} for a, b in zip(ends[::2], ends[1::2], strict=True)])
+        kept.append(b" ".join([w for a, b in zip([0, *ends[1::2]], [*ends[::2], len(words)], strict=True) for w in words[a:b]] if ends else words))
     types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((rows, n, spans, kept), types, strict=True)], ["row", "n_words", "spans", "kept"])
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from placeweave.llm import phrase_automata
+from placeweave.llm import hashed, phrase_automata
 from placeweave.llm.common import saved
 
 W, A = 6, 3
@@ -80,6 +80,16 @@ def test_pieces_of_long_texts(monkeypatch):
     assert whole.tolist() == [i + int(np.argmin(grams[i : i + 7])) for i in range(394)]
 
 
+def test_hashes_do_not_depend_on_what_is_hashed_at_once():
+    """Words over the edges of pieces, and words longer than a piece."""
+    some = [b"", b" a bc  def\n", b"x" * 100 + b" y", b"end"]
+    whole, lengths = hashed.plain_hashes(some, phrase_automata.EXACT)
+    assert len(whole) == 6 and lengths.tolist() == [0, 3, 2, 1]
+    for window in (1, 3, 8, 64):
+        found, n = hashed.plain_hashes(some, phrase_automata.EXACT, window)
+        assert (found == whole).all() and (n == lengths).all()
+
+
 def test_an_automaton_reads_only_where_phrases_may_be():
     """Words that no phrase's first words lead to are not read; what is found is the same, over phrases of any length and the ends of texts."""
     draw = random.Random(3)
